@@ -12,11 +12,12 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.llm.common import ascii_lower
-
 #: Phrases with labels that are always reported.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
+#: What a word is, in text of either case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 #: label | keyword | name of the license as a regex over words. A name's keyword must occur in every match of it.
 NAMES = r"""
 apache-1.0 | apache | apache (?:software )?license,? (?:version |v)?1 0
@@ -201,9 +202,26 @@ def spaced(regex: str) -> str:
     return f" {regex.replace(' ', '  ')} "
 
 
+#: One of these occurs wherever a keyword does; a word of three letters or less needs its borders too.
+HINTS = tuple("licen reserv permission redistribut endorse compliance domain warranty vorbehalten copyright confidential unauthorized attribution clause spdx gnu opensource unencumbered creative réserv mozilla cc mulan cecill source".split())
+_CC = r"(?:^|[^a-z0-9])cc(?:0|[^a-z0-9])"
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text in lower case may match any rule: plain searches, so that most texts never meet a regex."""
+    found = [F.contains(text, F.lit(h)) for h in HINTS if h != "cc"] + [F.contains(text, F.lit("cc")) & text.rlike(_CC)]
+    out = found[0]
+    for f in found[1:]:
+        out = out | f
+    return out
+
+
 def flat(text: Column) -> Column:
-    """Words in lower case, each with a space on both sides of its own; empty without words."""
-    words = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "))
+    """Words in lower case, each with a space on both sides of its own; empty without words.
+
+    ``lower`` also folds letters beyond ASCII; that moves no word and makes no word of a rule.
+    """
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "))
     return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -217,7 +235,8 @@ def _spans(t: Column) -> Column:
     for r in rules():
         by_key.setdefault(r["keyword"], []).append(r)
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    table = F.expr("array(" + ", ".join(f"named_struct('keyword', {q(r['keyword'])}, 'regex', {q(spaced(r['regex']))}, 'label', {q(r['label'])}, 'priority', {r['priority']}, 'confidence', {r['confidence']}D, 'rule', {r['rule']})" for r in rules()) + ")")
+    struct = lambda r: f"named_struct('regex', {q(spaced(r['regex']))}, 'label', {q(r['label'])}, 'priority', {r['priority']}, 'confidence', {r['confidence']}D, 'rule', {r['rule']})"
+    table = F.expr("map(" + ", ".join(f"{q(k)}, array({', '.join(map(struct, found))})" for k, found in by_key.items()) + ")")
     keys = F.array_distinct(F.regexp_extract_all(t, F.lit(f" ({'|'.join(by_key)})(?= )")))
 
     def of(r: Column) -> Column:
@@ -230,7 +249,7 @@ def _spans(t: Column) -> Column:
         places = F.aggregate(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), zero, step)["out"]
         return F.transform(places, lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("neg_end"), (-r["priority"]).alias("neg_priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))
 
-    return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(keys, r["keyword"])), of)))
+    return F.array_sort(F.flatten(F.transform(F.flatten(F.transform(keys, lambda k: F.element_at(table, k))), of)))
 
 
 _SPAN = "struct<start:bigint,neg_end:bigint,neg_priority:int,rule:int,label:string,confidence:double>"
@@ -258,15 +277,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     empty arrays; repeated rows each have their row; null ids are passed on.
     """
     t = F.col("t")
-    marks = "|".join(sorted({r["keyword"] for r in rules()}))
-    out = df.select(F.col(id_col).alias("doc_id"), flat(F.col(text_col)).alias("t")).select("doc_id", "t", _words_in(t).alias("n_words"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = df.select(F.col(id_col).alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.when(hinted(F.lower(text)), flat(text)).alias("t"))
     base = []
     for phrase, label in BASE:
         p = F.lit(spaced(phrase))
         n = F.floor((F.length(t) - F.length(F.replace(t, p, F.lit("")))) / len(spaced(phrase))).cast("long")
         last = F.col("n_words") - _words_in(F.substring_index(t, spaced(phrase), -1)) - len(phrase.split())
         base.append(F.when(F.contains(t, p), F.struct(F.lit(label).alias("label"), n.alias("n"), _words_in(F.substring_index(t, spaced(phrase), 1)).alias("first"), last.alias("last"))))
-    out = out.select("doc_id", "n_words", F.filter(F.array(*base), lambda b: b.isNotNull()).alias("base"), F.when(t.rlike(f" (?:{marks}) "), _kept(_spans(t))).alias("found"))
+    out = out.select("doc_id", "n_words", F.filter(F.array(*base), lambda b: b.isNotNull()).alias("base"), F.when(t.isNotNull(), _kept(_spans(t))).alias("found"))
     det = F.transform("found", lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), (-x["neg_end"]).alias("end"), x["rule"].alias("rule"), x["confidence"].alias("confidence")))
     return out.select("doc_id", "n_words", "base", F.coalesce(det, F.array().cast("array<struct<label:string,start:bigint,end:bigint,rule:int,confidence:double>>")).alias("detections"))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushlake.llm import bpe, chat, chunks, decontam, flac, html, langid, license, minhash
+from hushlake.llm import bpe, chat, chunks, decontam, flac, html, langid, license, minhash, suffix
 from hushlake.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -22,6 +22,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=3)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), "sha256")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_minhash_dedup, op4_html_extraction, op5_license_scan, op6_decontamination, op7_language_id, op8_bpe_round_trip, op9_flac_media, op10_chat_format)
+    for f in (op1_substring_dedup, op2_minhash_dedup, op3_suffix_dedup, op4_html_extraction, op5_license_scan, op6_decontamination, op7_language_id, op8_bpe_round_trip, op9_flac_media, op10_chat_format)
 }
 
 ORACLES: dict[str, str] = {"op2_minhash_dedup": minhash.ORACLE, "op10_chat_format": chat.ORACLE}
