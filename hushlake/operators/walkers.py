@@ -245,9 +245,9 @@ def rewritten(text: Column, put: Put, form: str | None = None) -> Column:
     return run(text)
 
 
-@pandas_udf("string")
-def format_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else sniff(t))
+def format_of(text: Column) -> Column:
+    """The sniffed format of a payload column; null for null."""
+    return pandas_udf(lambda s: s.map(lambda t: None if t is None else sniff(t)), "string")(text)
 
 
 __all__ = ["chat_payload", "csv_fields", "csv_text", "format_of", "json_text", "replacer", "rewritten", "sniff", "sql_text", "walk_json"]
