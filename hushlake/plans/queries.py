@@ -190,30 +190,31 @@ def restore_unknown_tokens(spark: SparkSession, d: str) -> DataFrame:
     return native.restore(odd, table, "doc_id")
 
 
-def _number(n: int, key: str = "o_orderkey") -> tuple[Column, str]:
+def _number(n: int, key: str = "o_orderkey") -> tuple[Callable[[], Column], str]:
     """Zero-padded n-digit strings spread by a multiplication, alike in both engines."""
     sql = f"lpad(CAST(({key} * 7919000 + {key} * {key} * 31 + 104729) % {10**n} AS VARCHAR), {n}, '0')"
-    return F.lpad(((F.col(key) * 7919000 + F.col(key) * F.col(key) * 31 + 104729) % 10**n).cast("string"), n, "0"), sql
+    column = lambda: F.lpad(((F.col(key) * 7919000 + F.col(key) * F.col(key) * 31 + 104729) % 10**n).cast("string"), n, "0")  # noqa: E731  columns need a session, which a mere import has not
+    return column, sql
 
 
 for _name, (_n, _, _) in checksums.RULES.items():
     _col, _sql = _number(_n)
     register(f"val_{_name}", f"SELECT o_orderkey, v AS value, {checksums.rule_sql(_name, 'v')} AS valid FROM (SELECT o_orderkey, {_sql} AS v FROM orders)")(
-        lambda spark, d, n=_name, c=_col: _table(spark, d, "orders").select("o_orderkey", c.alias("value")).withColumn("valid", checksums.rule(n, F.col("value")))
+        lambda spark, d, n=_name, c=_col: _table(spark, d, "orders").select("o_orderkey", c().alias("value")).withColumn("valid", checksums.rule(n, F.col("value")))
     )
 
 _LUHN_SQL = "list_sum(list_transform(range(0, 16), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN 2 * CAST(v[i + 1] AS INT) > 9 THEN 2 * CAST(v[i + 1] AS INT) - 9 ELSE 2 * CAST(v[i + 1] AS INT) END ELSE CAST(v[i + 1] AS INT) END)) % 10 = 0"
 register("val_luhn", f"SELECT o_orderkey, v AS value, {_LUHN_SQL} AS valid FROM (SELECT o_orderkey, {_number(16)[1]} AS v FROM orders)")(
-    lambda spark, d: _table(spark, d, "orders").select("o_orderkey", _number(16)[0].alias("value")).withColumn("valid", checksums.luhn(F.col("value")))
+    lambda spark, d: _table(spark, d, "orders").select("o_orderkey", _number(16)[0]().alias("value")).withColumn("valid", checksums.luhn(F.col("value")))
 )
 register("val_iban", f"SELECT o_orderkey, 'GB' || v AS value, CAST(substr(v, 3) || '1611' || substr(v, 1, 2) AS HUGEINT) % 97 = 1 AS valid FROM (SELECT o_orderkey, {_number(16)[1]} AS v FROM orders)")(
-    lambda spark, d: _table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("GB"), _number(16)[0]).alias("value")).withColumn("valid", checksums.iban(F.col("value")))
+    lambda spark, d: _table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("GB"), _number(16)[0]()).alias("value")).withColumn("valid", checksums.iban(F.col("value")))
 )
 register("val_calendar", "SELECT o_orderkey, v AS value, try_cast(v AS DATE) IS NOT NULL AS valid FROM (SELECT o_orderkey, (1990 + o_orderkey % 40)::VARCHAR || '-' || lpad((o_orderkey % 13)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey * 7 % 33)::VARCHAR, 2, '0') AS v FROM orders)")(
     lambda spark, d: _table(spark, d, "orders").select("o_orderkey", F.concat((1990 + F.col("o_orderkey") % 40).cast("string"), F.lit("-"), F.lpad((F.col("o_orderkey") % 13).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("o_orderkey") * 7 % 33).cast("string"), 2, "0")).alias("value")).withColumn("valid", F.try_to_date("value", "yyyy-MM-dd").isNotNull())
 )
 register("val_nif", "SELECT o_orderkey, v || chr(65 + CAST(o_orderkey % 26 AS INT)) AS value, substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(CAST(v AS INT) % 23 AS INT) + 1, 1) = chr(65 + CAST(o_orderkey % 26 AS INT)) AS valid FROM (SELECT o_orderkey, " + _number(8)[1] + " AS v FROM orders)")(
-    lambda spark, d: _table(spark, d, "orders").select("o_orderkey", _number(8)[0].alias("v"), F.char(65 + F.col("o_orderkey") % 26).alias("c")).select("o_orderkey", F.concat("v", "c").alias("value"), (F.substr(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), F.col("v").cast("int") % 23 + 1, F.lit(1)) == F.col("c")).alias("valid"))
+    lambda spark, d: _table(spark, d, "orders").select("o_orderkey", _number(8)[0]().alias("v"), F.char(65 + F.col("o_orderkey") % 26).alias("c")).select("o_orderkey", F.concat("v", "c").alias("value"), (F.substr(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), F.col("v").cast("int") % 23 + 1, F.lit(1)) == F.col("c")).alias("valid"))
 )
 
 
