@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from hushlake.llm.common import LOWER, UPPER, importable, stored
 
-COMPONENTS, BANDS, ROWS = 256, 28, 5
-#: Sketches of linked sets (similarity 0.85) differ in 19 of 256 bits on average, with a deviation of 4; more than this is ruled out.
-MOST_BITS = 52
+BANDS, ROWS = 28, 5
+COMPONENTS = BANDS * ROWS
+#: A sketch has a bit for each of the first 128 components. Those of linked sets (similarity 0.8 or more) differ in 13 at most on average, with a deviation of 3.4; more than this, seven deviations, is ruled out.
+MOST_BITS = 37
 #: Elements whose permutations are held at a time.
 AT_ONCE = 150_000
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -94,16 +95,13 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """One bit of a hash of each component, in numbers of 64 bits."""
-    bits = (_mix(np.ascontiguousarray(sig).view(np.uint64)) >> np.uint64(63)).astype(np.uint8)
+    """One bit of a hash of each of 128 components, in two numbers."""
+    bits = (_mix(np.ascontiguousarray(sig[:, :128]).view(np.uint64)) >> np.uint64(63)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-_SKETCH = COMPONENTS // 64
-
-
 def described(df: DataFrame, size: int = 3) -> DataFrame:
-    """``(doc_id, n, item, bands, sketch)`` of each row; ``item`` digests the whole set, and is null without one."""
+    """``(doc_id, n, item, bands, s0, s1)`` of each row; ``item`` digests the whole set, and is null without one."""
     importable(df.sparkSession)
     kind = df.schema["doc_id"].dataType.simpleString()
 
@@ -111,10 +109,10 @@ def described(df: DataFrame, size: int = 3) -> DataFrame:
         def frame(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
             full = [k for k, s in enumerate(sets) if len(s)]
             sig = signatures([sets[k] for k in full])
-            items, keys, sketch = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            items, keys, sketch = [None] * len(sets), [None] * len(sets), np.zeros((len(sets), 2), np.int64)
             for k, b, s in zip(full, bands(sig), sketches(sig), strict=True):
                 items[k], keys[k], sketch[k] = xxhash.xxh3_128_digest(sets[k].tobytes()), b, s
-            return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "n": [len(s) for s in sets], "item": items, "bands": keys, "sketch": sketch})
+            return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "n": [len(s) for s in sets], "item": items, "bands": keys, "s0": sketch[:, 0], "s1": sketch[:, 1]})
 
         for batch in batches:
             ids, sets, held = [], [], 0
@@ -128,7 +126,7 @@ def described(df: DataFrame, size: int = 3) -> DataFrame:
             if ids:
                 yield frame(ids, sets)
 
-    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, item binary, bands array<long>, sketch array<long>")
+    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, item binary, bands array<long>, s0 long, s1 long")
 
 
 def _sets(df: DataFrame, size: int) -> DataFrame:
@@ -173,8 +171,10 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def _differ(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(f"{a}.sketch", F.lit(k)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(k)))) for k in range(1, _SKETCH)), F.bit_count(F.get(f"{a}.sketch", F.lit(0)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(0)))))
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches allow a link."""
+    bits = F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))) + F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1")))
+    return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & (bits <= MOST_BITS)
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
@@ -186,25 +186,25 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = 3) -> DataFram
     sets. ``kept`` marks the rows whose id is their component's.
     """
     docs = stored(described(df, size))
-    members = docs.where("item IS NOT NULL").select("item", "doc_id", "n", "bands", "sketch")
-    items = stored(members.groupBy("item").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    buckets = items.select(F.explode("bands").alias("bucket"), "item", "n", "sketch")
-    alike = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (_differ("x", "y") <= MOST_BITS)
-
-    centres = buckets.groupBy("bucket").agg(F.min(F.struct("item", "n", "sketch")).alias("c"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("c.item").alias("item"), F.col("c.n").alias("n"), F.col("c.sketch").alias("sketch"))
-    shared = buckets.join(centres.select("bucket"), "bucket")
-    pairs = buckets.alias("x").join(centres.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.item") != F.col("y.item")) & alike)
-    pairs = stored(pairs.select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct())
+    items = stored(docs.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "bands", "s0", "s1")]).withColumn("key", F.xxhash64("item")))
+    brief = items.select("item", "key", "n", "s0", "s1")
+
+    # A bucket's centre is its member of the least key. Rows of buckets are narrow; what they need of an item is joined to distinct pairs.
+    buckets = items.select(F.explode("bands").alias("bucket"), "item", "key")
+    centres = stored(buckets.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    shared = stored(buckets.join(centres, "bucket").select("bucket", "item", "key", "centre"))
+    near = shared.where("key <> centre").select("item", "centre").distinct().join(brief, "item").alias("x")
+    pairs = stored(near.join(brief.alias("y"), (F.col("x.centre") == F.col("y.key")) & _alike("x", "y", percent)).select(F.col("x.item").alias("a"), F.col("y.item").alias("b")))
     links = stored(_confirmed(df, items, pairs, percent, size))
     labels = components(links)
 
     # What a bucket holds of another component than its largest one meets the whole bucket.
-    held = stored(shared.join(labels, "item", "left").select("bucket", "item", "n", "sketch", F.coalesce("label", "item").alias("label")))
+    held = stored(shared.join(labels, "item", "left").select("bucket", "item", F.coalesce("label", "item").alias("label")))
     mixed = held.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("largest"))
-    held = held.join(mixed, "bucket")
+    held = stored(held.join(mixed, "bucket").join(brief.drop("key"), "item"))
     minor = held.where("label <> largest")
     once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.item") < F.col("y.item"))
-    rest = minor.alias("x").join(held.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & alike)
+    rest = minor.alias("x").join(held.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & _alike("x", "y", percent))
     rest = rest.select(F.greatest("x.item", "y.item").alias("a"), F.least("x.item", "y.item").alias("b")).distinct()
     tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
