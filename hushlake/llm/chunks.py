@@ -4,8 +4,9 @@ The gear hash of the last 16 bytes is rolled over each text, and a text is cut
 behind every byte whose hash is the least of its neighbourhood (the local-extremum
 form of the cut rule: cuts depend on 40 bytes at most, chunks are 25 to some 100
 bytes long, and an insertion moves only the cuts beside it). A chunk whose digest
-also occurs in a document with a smaller id is a duplicate, and adjacent
-duplicates that make up a passage are reported as one span.
+also occurs in a document with a smaller id is a duplicate. Adjacent duplicates
+are a run, which is extended byte by byte to both sides against the text that
+holds its outer chunks, and reported if it makes up a passage or the whole text.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from hushlake.llm.common import importable
 
 #: A cut's hash is the least of so many on either side. Between two cuts without any (constant runs) a chunk ends after LONGEST bytes.
 REACH, LONGEST = 24, 2048
-#: Adjacent duplicate chunks count from so many bytes: a passage of 50 words keeps at least that many between its first and last cut.
+#: An extended run of duplicate chunks counts from so many bytes, and at any length where it is the whole text.
 LEAST_SPAN = 100
+#: Where texts agree for so many bytes beyond the next chunk (16 of the hash and REACH, with some to spare), they share its cut, and it would be of the run.
+BEYOND = 64
 #: Text bytes that are cut at a time.
 AT_ONCE = 1 << 22
 
@@ -69,7 +73,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_rows(df: DataFrame) -> DataFrame:
-    """``(doc_id, hi, lo, start, size)``: the 128-bit digest and place of every chunk, in bytes. Null and empty texts have none."""
+    """``(doc_id, hi, lo, start, sizes)``: the 128-bit digest and place of every chunk in bytes, and 16 bits each of its size and of those before and after it (0: none). Null and empty texts have none."""
     importable(df.sparkSession)
     kind = df.schema["doc_id"].dataType.simpleString()
 
@@ -80,7 +84,9 @@ def chunk_rows(df: DataFrame) -> DataFrame:
             sums = np.frombuffer(b"".join(p[1] for p in parts), ">i8").astype(np.int64).reshape(-1, 2)
             n = [len(p[2]) for p in parts]
             ids = pd.Series([p[0] for p in parts], dtype=object if kind == "string" else "Int64").repeat(n).reset_index(drop=True)
-            return pd.DataFrame({"doc_id": ids, "hi": sums[:, 0], "lo": sums[:, 1], "start": np.concatenate([p[2] for p in parts]), "size": np.concatenate([p[3] for p in parts])})
+            sizes = [p[3] for p in parts]
+            packed = [(s.astype(np.int64) << 32) + (np.append(0, s[:-1]) << 16) + np.append(s[1:], 0) for s in sizes]
+            return pd.DataFrame({"doc_id": ids, "hi": sums[:, 0], "lo": sums[:, 1], "start": np.concatenate([p[2] for p in parts]), "sizes": np.concatenate(packed)})
 
         for batch in batches:
             parts, held = [], 0
@@ -98,24 +104,72 @@ def chunk_rows(df: DataFrame) -> DataFrame:
             if parts:
                 yield frame(parts)
 
-    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, hi long, lo long, start int, size int")
+    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, hi long, lo long, start int, sizes long")
+
+
+def _in_common(ours: Iterator, theirs: Iterator, left: Iterator) -> list[int]:
+    """Bytes that two strings have in common at their end (left) or at their start."""
+    out = []
+    for a, b, at_end in zip(ours, theirs, left, strict=True):
+        n = min(len(a), len(b))
+        a, b, order = (a[len(a) - n :], b[len(b) - n :], "little") if at_end else (a[:n], b[:n], "big")
+        differ = (int.from_bytes(a, order) ^ int.from_bytes(b, order)).bit_length()
+        out.append(n - (differ + 7) // 8)
+    return out
+
+
+def _extended(df: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` with start and end moved outwards as far as the text agrees with that of the smallest document that holds the outer chunk."""
+    importable(df.sparkSession)
+    raw = df.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    kept = ["doc_id", "run", "start", "end", "n_chunks", "first_doc_id"]
+    sides = F.array(F.struct(F.lit(True).alias("left"), "head.*"), F.struct(F.lit(False).alias("left"), "tail.*"))
+    edges = runs.select(*kept, F.inline(sides))
+    # An edge is the outer chunk with what may be in common beyond it.
+    begin = F.when(F.col("left"), F.greatest(F.col("chunk") - F.col("before") - BEYOND, F.lit(0))).otherwise(F.col("chunk"))
+    length = F.when(F.col("left"), F.col("chunk") - begin + F.col("size")).otherwise(F.col("size") + F.col("after") + BEYOND)
+    edges = edges.withColumn("length", length).withColumn("begin", begin)
+    # Both joins read the same exchange of the texts. Other rows of an id don't hold the chunk there, and go.
+    ours = edges.join(raw, "doc_id").select(*kept, F.octet_length("raw").alias("total"), "left", "size", "holder", "length", (F.col("begin") + F.col("held_at") - F.col("chunk")).alias("at"), F.substring("raw", F.col("begin") + 1, F.col("length")).alias("ours"))
+    theirs = F.substring("t.raw", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("length") + F.least(F.col("at"), F.lit(0)))
+    kept = [*kept, "total"]
+    both = ours.alias("o").join(raw.alias("t"), F.col("o.holder") == F.col("t.doc_id")).select("o.left", "o.size", "o.ours", theirs.alias("theirs"), *[f"o.{c}" for c in kept])
+    common = pandas_udf(lambda a, b, left: pd.Series(_in_common(a, b, left), dtype="int32"), "int")
+    more = both.select(*kept, "left", (common("ours", "theirs", "left") - F.col("size")).alias("more")).where("more >= 0")
+    out = more.groupBy(*kept).agg(*[F.coalesce(F.max(F.when(F.col("left") == side, F.col("more"))), F.lit(0)).alias(name) for name, side in (("down", True), ("up", False))])
+    return out.select("doc_id", (F.col("start") - F.col("down")).alias("start"), (F.col("end") + F.col("up")).alias("end"), "n_chunks", "first_doc_id", "total")
+
+
+def _opens() -> tuple[Column, WindowSpec]:
+    """1 where a span begins that doesn't touch those before it in its document, and the order for its sum."""
+    in_order = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc_id")
+    return F.coalesce((F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)), in_order.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def repeated_spans(df: DataFrame, least: int = LEAST_SPAN) -> DataFrame:
-    """``(doc_id, start, end, n_chunks, first_doc_id)``: each passage of at least ``least`` bytes, cut by content, that a smaller doc_id holds too.
-
-    Places are bytes of the UTF-8 text; ``first_doc_id`` is the smallest document
-    that holds the first chunk of the passage. Texts repeated within their
-    document, and rows that share a doc_id, aren't duplicates of each other. Rows
-    with a null doc_id, text or an empty text have no passages. First places are
-    found by an aggregation whose map side leaves a row for each digest, and
-    brought back by an equi-join that splits hot digests.
+    """``(doc_id, start, end, n_chunks, first_doc_id)``: each passage of at least ``least`` bytes, or text of any length, that smaller doc_ids hold too.
+
+    A passage is found by the whole chunks it shares, and extended to both sides
+    against the smallest document that holds its outer chunk. Places are bytes of
+    the UTF-8 text; ``first_doc_id`` is the smallest document that holds the first
+    chunk of the passage. Texts repeated within their document, and rows that
+    share a doc_id, aren't duplicates of each other. Rows with a null doc_id, text
+    or an empty text have no passages. First places are found by an aggregation
+    whose map side leaves a row for each digest, and brought back by an equi-join
+    that splits hot digests.
     """
-    chunks = chunk_rows(df.where("doc_id IS NOT NULL"))
-    first = chunks.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("other")).where("first_doc_id < other").drop("other")
-    again = chunks.join(first, ["hi", "lo"]).where("doc_id > first_doc_id").select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "first_doc_id").distinct()
-    in_order = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc_id")
-    opens = F.coalesce((F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
-    runs = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.count("*").alias("n_chunks"), F.min(F.struct("start", "first_doc_id")).alias("f"))
-    return spans.where(F.col("end") - F.col("start") >= least).select("doc_id", "start", "end", "n_chunks", F.col("f.first_doc_id").alias("first_doc_id"))
+    df = df.where("doc_id IS NOT NULL").select("doc_id", "text")
+    chunks = chunk_rows(df)
+    first = chunks.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("other")).where("f.doc_id < other").select("hi", "lo", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("held_at"))
+    size, before, after = (F.shiftright("sizes", k).bitwiseAND(0xFFFF).cast("int") for k in (32, 16, 0))
+    again = chunks.join(first, ["hi", "lo"]).where("doc_id > first_doc_id").select("doc_id", "start", (F.col("start") + size).cast("int").alias("end"), "first_doc_id", "held_at", "sizes").distinct()
+    opens, to_here = _opens()
+    runs = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(to_here))
+    chunk = F.struct(F.col("start").alias("chunk"), size.alias("size"), before.alias("before"), after.alias("after"), F.col("first_doc_id").alias("holder"), "held_at")
+    runs = runs.groupBy("doc_id", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.count("*").alias("n_chunks"), F.min(F.struct("start", "first_doc_id")).alias("f"), F.min(chunk).alias("head"), F.max(F.struct("end", chunk.alias("chunk"))).alias("l"))
+    runs = runs.select("doc_id", "run", "start", "end", "n_chunks", F.col("f.first_doc_id").alias("first_doc_id"), "head", F.col("l.chunk").alias("tail"))
+    spans = _extended(df, runs).where((F.col("end") - F.col("start") >= least) | (F.col("start") == 0) & (F.col("end") == F.col("total")))
+    opens, to_here = _opens()
+    spans = spans.withColumn("opens", opens).withColumn("run", F.sum("opens").over(to_here))
+    out = spans.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_chunks").alias("n_chunks"), F.min(F.struct("start", "first_doc_id")).alias("f"))
+    return out.select("doc_id", "start", "end", "n_chunks", F.col("f.first_doc_id").alias("first_doc_id"))

@@ -37,6 +37,31 @@ def test_substring_dedup(docs, empty):
     assert chunks.repeated_spans(empty).count() == 0
 
 
+def test_substring_dedup_of_short_texts_and_passages(spark):
+    short = "A short text, repeated."
+    passages = [prose(100 + k, 36)[:130] for k in range(40)]
+    rows = [(1, short), (2, short), (3, "Another short one."), (4, short)]
+    rows += [(10 + k, prose(200 + k, 60) + " " + p + " " + prose(300 + k, 60)) for k, p in enumerate(passages)]
+    rows += [(110 + k, prose(400 + k, 60) + " " + p + " " + prose(500 + k, 60)) for k, p in enumerate(passages)]
+    got = {r.doc_id: r for r in chunks.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(short)
+    assert [(got[i].start, got[i].end, got[i].first_doc_id) for i in (2, 4)] == [(0, n, 1)] * 2 and not {1, 3} & set(got)
+    texts = dict(rows)
+    found = [k for k, p in enumerate(passages) if 110 + k in got]
+    assert all(passages[k] in texts[110 + k][got[110 + k].start : got[110 + k].end] and got[110 + k].first_doc_id == 10 + k for k in found)
+    shared = [k for k, p in enumerate(passages) if _share_a_chunk(texts[10 + k], texts[110 + k])]
+    assert set(shared) <= set(found) and len(shared) > 20
+    assert not set(got) & set(range(10, 110))
+
+
+def _share_a_chunk(a, b):
+    pieces = []
+    for t in (a.encode(), b.encode()):
+        ends = chunks.cuts(np.frombuffer(t, np.uint8)).tolist()
+        pieces.append({t[x:y] for x, y in zip([0, *ends], ends)})
+    return bool(pieces[0] & pieces[1])
+
+
 def test_chunks_cover_and_resist_shifts():
     data = prose(9, 2000).encode()
     a, b = chunks.cuts(np.frombuffer(data, np.uint8)), chunks.cuts(np.frombuffer(b"shift " + data, np.uint8))
