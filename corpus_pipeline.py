@@ -1,4 +1,9 @@
-"""A corpus pipeline of five of the training-data operators, each stage over all that the one before kept."""
+"""A corpus pipeline of five of the training-data operators, each stage over all that the one before kept.
+
+Every row is a document of its own: the first stage gives it a number, and the
+decisions of an operator come back to the row by that, never by a doc_id that may
+be null or shared.
+"""
 
 from __future__ import annotations
 
@@ -12,30 +17,51 @@ from hushlake.llm.common import stored, table
 from hushlake.llm.queries import PATTERN, RANKS
 
 
+#: The column with the number of a row.
+ROW = "corpus_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row in the order of the ids, null last; rows of one id are in the order of their other columns. Stored, so that numbers stay."""
+    if ROW in docs.columns:
+        return docs
+    first = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return stored(docs.orderBy(*first, *rest).withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """What the operators read, with the number as the id."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier doesn't reject."""
-    return langid.predict(docs, langid.train(docs), docs.columns).where("NOT rejected").select(*docs.columns)
+    rows = numbered(docs)
+    return langid.predict(rows, langid.train(rows), rows.columns).where("NOT rejected").select(*rows.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near-duplicates (five words a shingle, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs, percent=80, size=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    rows = numbered(docs)
+    kept = minhash.near_duplicates(_by_row(rows), percent=80, size=5).where("kept").select(F.col("doc_id").alias("kept_row"))
+    return rows.join(kept, rows[ROW] == kept["kept_row"], "left_semi")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that an earlier document has; a character that loses a byte goes as a whole, and so does a text that loses all."""
-    left = suffix.remove_repeats(docs, "text").where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("kept").alias("cut")).dropDuplicates(["cut_id"])
-    merged = docs.join(left, docs["doc_id"].eqNullSafe(left["cut_id"]), "left")
+    rows = numbered(docs)
+    left = suffix.remove_repeats(_by_row(rows), "text").where("n_removed > 0").select(F.col("doc_id").alias("cut_row"), F.col("kept").alias("cut"))
+    merged = rows.join(left, rows[ROW] == left["cut_row"], "left")
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.col("cut"))
-    n_chars = F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    out = merged.select(*[text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else docs[c] for c in docs.columns], F.col("cut").alias("left of it"))
-    return out.where("`left of it` IS NULL OR length(text) > 0").select(*docs.columns)
+    n_chars = F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(rows.schema["n_chars"].dataType))
+    out = merged.select(*[text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else rows[c] for c in rows.columns], F.col("cut").alias("left of it"))
+    return out.where("`left of it` IS NULL OR length(text) > 0").select(*rows.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.clean(numbered(docs), table(spark, sf_dir, "benchmark"), ROW)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     return v.where(whole | (F.col("v.best") >= need)).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.overlap").cast("long").alias("overlap"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    leaked = overlaps(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns; rows that share a ``key`` count as one document."""
+    leaked = overlaps(docs.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
+    return docs.join(leaked, docs[key].eqNullSafe(leaked["leaked_id"]), "left_anti")
