@@ -252,8 +252,9 @@ def url_inner_params(spark: SparkSession, d: str) -> DataFrame:
 
 @register("signoff_names", "SELECT doc_id, 'PERSON' AS entity_type, 'Dupont' AS original FROM documents WHERE text IS NOT NULL")
 def signoff_names(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.lit("see below.\nBest regards,\nDupont").alias("text"))
-    return scan.exploded(scan.detections(docs), ["doc_id"]).select("doc_id", "entity_type", "original")
+    """Names in the whole texts, with a sign-off put behind each. The SQL knows that one name only: it differs where a text holds another."""
+    docs = _table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.concat("text", F.lit("\n\nsee below.\nBest regards,\nDupont")).alias("text"))
+    return scan.exploded(scan.detections(docs), ["doc_id"]).where("entity_type = 'PERSON'").select("doc_id", "entity_type", "original")
 
 
 @register("format_sniff", "SELECT event_id, 'json' AS fmt FROM events WHERE props IS NOT NULL")
