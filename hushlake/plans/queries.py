@@ -185,8 +185,9 @@ def restore_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 @register("restore_unknown_tokens", "SELECT doc_id, '[x [EMAIL_ADDRESS_00000000]] ' || left(text, 20) AS restored FROM documents")
 def restore_unknown_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts behind a token that the mapping hasn't. The SQL still has their first 20 characters only."""
     texts, table = _tokens(spark, d)
-    odd = _table(spark, d, "documents").select("doc_id", F.concat(F.lit("[x [EMAIL_ADDRESS_00000000]] "), F.left("text", F.lit(20))).alias("text"))
+    odd = _table(spark, d, "documents").select("doc_id", F.concat(F.lit("[x [EMAIL_ADDRESS_00000000]] "), F.col("text")).alias("text"))
     return native.restore(odd, table, "doc_id")
 
 
