@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Seed masks; 1: the word counts, 0: it may differ.
-MASKS = ("11011011", "1110010111", "11110011")
+#: Seed masks; 1: the word counts, 0: it may differ. Together they hit every overlap that the thresholds accept (tried for all substitutions in 10 to 25 words; a longer one has such a part).
+MASKS = ("11011011", "1110010111", "11110011", "111111", "110101011")
 #: An overlap needs so many equal words (all words of an item that has fewer).
 MIN_MATCH = 10
 #: Share of equal words over the whole overlap of document and item.
@@ -36,7 +36,7 @@ def seeds(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
     size = F.size("w")
     shifted = [F.slice("w", k + 1, F.greatest(size - k, F.lit(0))).alias(f"w{k}") for k in range(span)]
     windows = df.where(size >= min(map(len, masks))).select(*keep, F.inline(F.arrays_zip(F.sequence(F.lit(0), size - 1).alias("i"), *shifted)))
-    hashes = [F.when(F.col(f"w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"w{j}") for j, bit in enumerate(m) if bit == "1"])) for k, m in enumerate(masks)]
+    hashes = [F.when(F.col(f"w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(m), *[F.col(f"w{j}") for j, bit in enumerate(m) if bit == "1"])) for m in masks]
     return windows.select(*keep, "i", F.explode(F.array(*hashes)).alias("h")).where("h IS NOT NULL")
 
 
@@ -61,14 +61,21 @@ def _verified(doc: Column, item: Column, diagonal: Column) -> Column:
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_match: int = MIN_MATCH, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``(doc_id, item_id, matched, overlap)`` for each document and each benchmark item that it holds, the widest overlap of the pair.
 
-    Nulls, empty texts and items shorter than the shortest mask match nothing.
+    Nulls and empty texts match nothing. An item shorter than the shortest mask is
+    sought as the sequence of all its words.
     Rows that share a doc_id (a null is an id as well) count as one document;
     of tied overlaps the figures are equal, so ties need no choice. Empty tables
     give an empty result.
     """
     d = docs.select("doc_id", words(F.col("text")).alias("w"))
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).distinct()
-    keyed = seeds(items, ["item_id", "w"], masks).select("item_id", F.col("w").alias("item"), F.col("i").alias("at"), "h")
+    shortest = min(map(len, masks))
+    short = {"1" * n: n for (n,) in items.select(F.size("w")).distinct().collect() if 0 < n < shortest}  # a mask for each length, of which there are few
+    keyed = seeds(items, ["item_id", "w"], masks)
+    for mask, n in short.items():
+        keyed = keyed.union(seeds(items.where(F.size("w") == n), ["item_id", "w"], (mask,)))
+    masks = (*masks, *short)
+    keyed = keyed.select("item_id", F.col("w").alias("item"), F.col("i").alias("at"), "h")
     few = keyed.limit(max_broadcast + 1).count() <= max_broadcast
     if few:
         hits = seeds(d, ["doc_id", "w"], masks).join(F.broadcast(keyed), "h").select("doc_id", "w", "item_id", "item", (F.col("i") - F.col("at")).alias("diagonal"))

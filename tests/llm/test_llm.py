@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -166,6 +167,20 @@ def test_decontamination(spark, docs, empty):
     assert decontam.overlaps(empty, b).count() == 0
 
 
+def test_decontamination_by_short_items(spark):
+    d = spark.createDataFrame([(1, prose(8, 50) + " alpha beta gamma " + prose(10, 50)), (2, "Alpha, beta!"), (3, prose(11, 50) + " alpha beta other"), (4, "one item of seven words is here"), (5, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta"), (3, "One item of seven words is here"), (4, "")], "item_id long, text string")
+    for bound in (decontam.MAX_BROADCAST, 0):
+        assert {(r.doc_id, r.item_id) for r in decontam.overlaps(d, b, max_broadcast=bound).collect()} == {(1, 1), (1, 2), (2, 2), (3, 2), (4, 3)}
+
+
+def test_masks_leave_no_accepted_overlap():
+    for n in range(10, 21):
+        lost = n - max(decontam.MIN_MATCH, -(-4 * n // 5))
+        places = [sum(1 << (p + i) for i, bit in enumerate(m) if bit == "1") for m in decontam.MASKS for p in range(n - len(m) + 1)]
+        assert all(any(not s & p for p in places) for s in (sum(1 << i for i in c) for c in itertools.combinations(range(n), lost)))
+
+
 def test_language_id(spark, empty):
     words = {"en": "the of and to in is that house water".split(), "de": "der die und zu ein ist nicht haus wasser".split()}
     r = random.Random(3)
