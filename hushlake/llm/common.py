@@ -6,9 +6,13 @@ columns (also ones that share a name with a result column) never reach it.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,25 +35,62 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a temporary one is made, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="hushlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+class _Scratch(threading.local):
+    """The open scratch blocks of a thread, each with what undoes the tables it holds."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[Callable[[], object]]] = []
+
+
+_OPEN = _Scratch()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are removed at the end, and the shuffles that nothing refers to any more."""
+    _OPEN.blocks.append([])
+    try:
+        yield
+    finally:
+        for undo in _OPEN.blocks.pop():
+            undo()
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def on_release(spark: SparkSession, path: str, undo: Callable[[], object] | None = None, result: bool = False) -> None:
+    """Remove ``path`` (and call ``undo``) when the scratch block ends, for a ``result`` the one around it; without one, when the application ends."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    level = 2 if result else 1
+    if len(_OPEN.blocks) >= level:
+        block = _OPEN.blocks[-level]
+        if undo:
+            block.append(undo)
+        block.append(lambda: files.delete(at, True))
+    files.deleteOnExit(at)
+
+
+def stored(df: DataFrame, result: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs no recompute.
 
-    The table is removed when the application ends.
+    A ``result`` outlives the scratch block it is made in.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hushlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.option("compression", "zstd").parquet(path)
+    on_release(spark, path, result=result)
     return spark.read.schema(df.schema).parquet(path)
 
 

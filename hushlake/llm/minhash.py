@@ -6,10 +6,23 @@ of a signature are correlated and vary less than independent minima, and a set i
 done as soon as its worst component is below the next step. Bands of components
 make buckets; the members of a bucket are first compared with its least member
 only, which already connects groups of copies with a row for each member. What a
-bucket still holds in different components is then compared in full, if a sketch
-of one bit for each component allows a link. Every link is confirmed on the full
+bucket still holds in different components is compared next, if a sketch of one
+bit for each component allows a link. Every link is confirmed on the full
 sets, and components come from alternating star contraction of the links, a
 distributed union-find.
+
+A bucket of more than FEW items is never compared pair by pair. Its items are
+described by their difference from the majority set of the crowd around the
+bucket's least member. Two sets of sizes m and n, differences D and E, and
+percentage p are linked just if
+
+    2 (100 + p) |D & E| >= [(100 + p) |D| - (100 - p) m] + [(100 + p) |E| - (100 - p) n]
+
+The brackets are an item's excess. The item of the least excess is linked to all
+whose excess is at most its negative; each other item needs differences in common
+with any partner, and at least a known number, so a join on the rarest ones (a
+prefix filter) finds all its links. What copies have in common is in no
+difference, so the join meets only items that were changed alike.
 """
 
 from __future__ import annotations
@@ -22,12 +35,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushlake.llm.common import LOWER, UPPER, importable, stored
+from hushlake.llm.common import LOWER, UPPER, importable, scratch, stored
 
 BANDS, ROWS = 28, 5
 COMPONENTS = BANDS * ROWS
-#: A sketch has a bit for each of the first 128 components. Those of linked sets (similarity 0.8 or more) differ in 13 at most on average, with a deviation of 3.4; more than this, seven deviations, is ruled out.
-MOST_BITS = 37
+#: A sketch has a bit for each of the first 128 components. Bits beyond the mean of the least similar linked sets by so many deviations rule a link out.
+DEVIATIONS = 6
+#: Items of a bucket that are compared pair by pair.
+FEW = 32
+#: Ways in which a hot key is split.
+SALTS = 16
 #: Elements whose permutations are held at a time.
 AT_ONCE = 150_000
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -101,32 +118,33 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def described(df: DataFrame, size: int = 3) -> DataFrame:
-    """``(doc_id, n, item, bands, s0, s1)`` of each row; ``item`` digests the whole set, and is null without one."""
+    """``(doc_id, t, n, item, bands, s0, s1)`` of each row; ``item`` digests the whole set, and is null without one; ``t`` hashes the text."""
     importable(df.sparkSession)
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
+        def frame(ids: list, texts: list, sets: list[np.ndarray]) -> pd.DataFrame:
             full = [k for k, s in enumerate(sets) if len(s)]
             sig = signatures([sets[k] for k in full])
             items, keys, sketch = [None] * len(sets), [None] * len(sets), np.zeros((len(sets), 2), np.int64)
             for k, b, s in zip(full, bands(sig), sketches(sig), strict=True):
                 items[k], keys[k], sketch[k] = xxhash.xxh3_128_digest(sets[k].tobytes()), b, s
-            return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "n": [len(s) for s in sets], "item": items, "bands": keys, "s0": sketch[:, 0], "s1": sketch[:, 1]})
+            return pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "t": texts, "n": [len(s) for s in sets], "item": items, "bands": keys, "s0": sketch[:, 0], "s1": sketch[:, 1]})
 
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            ids, texts, sets, held = [], [], [], 0
+            for doc_id, t, text in zip(batch["doc_id"], batch["t"], batch["text"], strict=True):
                 ids.append(None if pd.isna(doc_id) else doc_id)
+                texts.append(t)
                 sets.append(shingles(text, size))
                 held += len(sets[-1])
                 if held > AT_ONCE:
-                    yield frame(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield frame(ids, texts, sets)
+                    ids, texts, sets, held = [], [], [], 0
             if ids:
-                yield frame(ids, sets)
+                yield frame(ids, texts, sets)
 
-    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, item binary, bands array<long>, s0 long, s1 long")
+    return df.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInPandas(run, f"doc_id {kind}, t long, n long, item binary, bands array<long>, s0 long, s1 long")
 
 
 def _sets(df: DataFrame, size: int) -> DataFrame:
@@ -157,9 +175,11 @@ def components(links: DataFrame) -> DataFrame:
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs if not large else pairs.union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        met = both.join(least, "a")
-        if large:
+        if large:  # the hub of a star has a row for each of its ends: they are dealt out
+            split = least.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            met = both.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS))).join(split, ["a", "salt"])
             return met.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        met = both.join(least, "a")
         return met.select("b", "low").union(least.select("a", "low")).toDF("a", "b").where("a <> b").distinct()
 
     mark = None
@@ -174,7 +194,13 @@ def components(links: DataFrame) -> DataFrame:
 def _alike(x: str, y: str, percent: int) -> Column:
     """Whether sizes and sketches allow a link."""
     bits = F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))) + F.bit_count(F.col(f"{x}.s1").bitwiseXOR(F.col(f"{y}.s1")))
-    return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & (bits <= MOST_BITS)
+    apart = (100 - percent) / 200
+    most = 128 * apart + DEVIATIONS * (128 * apart * (1 - apart)) ** 0.5
+    return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & (bits <= int(most) + 1)
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
@@ -183,10 +209,19 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = 3) -> DataFram
     Nulls and texts without words have no set and stand alone. Equal sets are
     one item, so copies cost a row each. Null ids are members of their group but
     never its component_id, and rows that share an id are told apart by their
-    sets. ``kept`` marks the rows whose id is their component's.
+    sets. ``kept`` marks the rows whose id is their component's. Long texts are
+    shingled whole; extra columns aren't read; an empty table gives an empty one.
     """
+    with scratch(df.sparkSession):
+        return stored(_grouped(df, percent, size), result=True)
+
+
+def _grouped(df: DataFrame, percent: int, size: int) -> DataFrame:
     docs = stored(described(df, size))
-    items = stored(docs.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "bands", "s0", "s1")]).withColumn("key", F.xxhash64("item")))
+    # One text of each item stands for it: that of the least id, and of the least hash under an id.
+    of_text = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("r")
+    items = docs.where("item IS NOT NULL").groupBy("item").agg(F.min("doc_id").alias("first"), of_text, *[F.first(c).alias(c) for c in ("n", "bands", "s0", "s1")])
+    items = stored(items.select("item", "first", F.col("r.doc_id").alias("from_id"), F.col("r.t").alias("from_text"), "n", "bands", "s0", "s1", F.xxhash64("item").alias("key")))
     brief = items.select("item", "key", "n", "s0", "s1")
 
     # A bucket's centre is its member of the least key. Rows of buckets are narrow; what they need of an item is joined to distinct pairs.
@@ -195,41 +230,100 @@ def near_duplicates(df: DataFrame, percent: int = 85, size: int = 3) -> DataFram
     shared = stored(buckets.join(centres, "bucket").select("bucket", "item", "key", "centre"))
     near = shared.where("key <> centre").select("item", "centre").distinct().join(brief, "item").alias("x")
     pairs = stored(near.join(brief.alias("y"), (F.col("x.centre") == F.col("y.key")) & _alike("x", "y", percent)).select(F.col("x.item").alias("a"), F.col("y.item").alias("b")))
-    links = stored(_confirmed(df, items, pairs, percent, size))
+    links = _confirmed(_elements(df, items, _ends(pairs), size), pairs, percent)
     labels = components(links)
 
-    # What a bucket holds of another component than its largest one meets the whole bucket.
-    held = stored(shared.join(labels, "item", "left").select("bucket", "item", F.coalesce("label", "item").alias("label")))
-    mixed = held.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("largest"))
-    held = stored(held.join(mixed, "bucket").join(brief.drop("key"), "item"))
-    minor = held.where("label <> largest")
+    # Buckets that still hold several components.
+    held = stored(shared.join(labels, "item", "left").select("bucket", "item", "centre", F.coalesce("label", "item").alias("label")))
+    mixed = held.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.sum("k").alias("held")).where("labels > 1").select("bucket", F.col("top.label").alias("largest"), "held")
+    held = stored(held.join(mixed, "bucket"))
+    few = held.where(F.col("held") <= FEW).join(brief.drop("key"), "item")
     once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.item") < F.col("y.item"))
-    rest = minor.alias("x").join(held.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & _alike("x", "y", percent))
-    rest = rest.select(F.greatest("x.item", "y.item").alias("a"), F.least("x.item", "y.item").alias("b")).distinct()
-    tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = components(links.unionByName(_confirmed(df, items, rest, percent, size)))
-
-    labels = stored(labels.join(items.select("item", "first"), "item"))
-    least = labels.groupBy("label").agg(F.min("first").alias("low"))
-    grouped = labels.join(least, "label").select("item", "low")
-    of_item = items.select("item", "first").join(grouped, "item", "left").select("item", F.coalesce("low", "first").alias("component_id"))
+    rest = few.where("label <> largest").alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & _alike("x", "y", percent))
+    rest = stored(_in_order(rest.select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))).distinct().join(_in_order(pairs), ["a", "b"], "left_anti"))
+    crowds = stored(held.where(F.col("held") > FEW).select("centre", "item", "label").distinct())
+
+    elements = _elements(df, items, _ends(rest).union(crowds.select("item")).distinct(), size)
+    certain, more = (pairs.limit(0), pairs.limit(0)) if crowds.isEmpty() else _crowded(crowds, elements, brief, percent)
+    tried = _in_order(pairs).union(rest)
+    found = _confirmed(elements, stored(rest.union(more.join(tried, ["a", "b"], "left_anti"))), percent).union(certain)
+
+    # The links found last join whole components.
+    of = lambda end, name: labels.select(F.col("item").alias(end), F.col("label").alias(name))
+    between = found.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined = components(between).select(F.col("item").alias("label"), F.col("label").alias("over"))
+    all_labels = items.select("item", "first").join(labels, "item", "left").select("item", "first", F.coalesce("label", "item").alias("label"))
+    all_labels = stored(all_labels.join(joined, "label", "left").select("item", "first", F.coalesce("over", "label").alias("label")))
+    least = all_labels.groupBy("label").agg(F.min("first").alias("low"), F.count("*").alias("k")).where("k > 1").drop("k")
+    of_item = all_labels.join(least, "label", "left").select("item", F.coalesce("low", "first").alias("component_id"))
     out = docs.select("doc_id", "n", "item").join(of_item, "item", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("item").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _confirmed(df: DataFrame, items: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
+
+
+def _elements(df: DataFrame, items: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``(item, elements)`` of the wanted items, from the text that stands for each; the text's hash keeps rows without an id apart."""
     importable(df.sparkSession)
-    wanted = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
-    wanted = wanted.join(items.select("item", "first"), "item")
-    texts = df.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "item")
-    sets = stored(_sets(texts, size))
-    a = sets.select(F.col("item").alias("a"), F.col("elements").alias("of_a"))
-    b = sets.select(F.col("item").alias("b"), F.col("elements").alias("of_b"))
+    wanted = wanted.join(items.select("item", "from_id", "from_text"), "item")
+    texts = df.select("doc_id", F.xxhash64("text").alias("t"), "text").join(wanted, (F.col("t") == F.col("from_text")) & F.col("doc_id").eqNullSafe(F.col("from_id"))).select("text", "item")
+    return stored(_sets(texts, size))
+
+
+def _confirmed(elements: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough."""
+    a = elements.select(F.col("item").alias("a"), F.col("elements").alias("of_a"))
+    b = elements.select(F.col("item").alias("b"), F.col("elements").alias("of_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), F.size("of_a").alias("na"), F.size("of_b").alias("nb"))
-    return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return stored(both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+
+
+def _by_crowd(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` with the facts of their crowd; the rows of a large crowd are dealt out."""
+    split = facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.hash("item"), F.lit(SALTS))).join(split, ["centre", "salt"], "left").drop("salt")
+
+
+def _crowded(crowds: DataFrame, elements: DataFrame, brief: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and further candidates (a, b) between the components of each crowd, by the items' differences from its majority set.
+
+    A crowd's majority set has at most twice as many elements as an item has on
+    average, and at most 100 times as many differences as an item has on average
+    are common (those of over one in a hundred items); both go to their crowd's rows.
+    """
+    more, none = 100 + percent, F.array().cast("array<long>")
+    sized = _by_crowd(crowds, crowds.groupBy("centre").agg(F.count("*").alias("crowd")))
+    rows = sized.join(elements, "item").join(brief.drop("key"), "item")
+    majority = rows.select("centre", "crowd", F.explode("elements").alias("e")).groupBy("centre", "e").agg(F.count("*").alias("f"), F.first("crowd").alias("crowd")).where("2 * f > crowd").groupBy("centre").agg(F.collect_list("e").alias("common"))
+    common = F.coalesce("common", none)
+    delta = F.concat(F.array_except("elements", common), F.array_except(common, F.col("elements")))
+    rows = _by_crowd(rows, majority).select("centre", "item", "label", "crowd", "n", "s0", "s1", delta.alias("delta"))
+    rows = stored(rows.withColumn("excess", more * F.size("delta") - (100 - percent) * F.col("n")))
+
+    best = rows.groupBy("centre").agg(F.min(F.struct("excess", "item", "label")).alias("best"))
+    rows = _by_crowd(rows, best).withColumn("outer", F.col("excess") + F.col("best.excess") > 0)
+    frequent = rows.select("centre", "crowd", F.explode("delta").alias("e")).groupBy("centre", "e").agg(F.count("*").alias("f"), F.first("crowd").alias("crowd")).where("100 * f > crowd").groupBy("centre").agg(F.array_sort(F.collect_list(F.struct("f", "e")))["e"].alias("frequent"))
+    facts = rows.where("outer").groupBy("centre").agg(F.min("excess").alias("least_outer")).join(frequent, "centre", "left")
+    certain = rows.where(~F.col("outer") & (F.col("label") != F.col("best.label"))).select(F.col("item").alias("a"), F.col("best.item").alias("b"))
+
+    # Rare differences first; an item's prefix leaves out one less than it must have in common with any partner.
+    frequent = F.coalesce("frequent", none)
+    ordered = F.concat(F.array_sort(F.array_except("delta", frequent)), F.array_intersect(frequent, F.col("delta")))
+    needed = lambda least: F.ceil((F.col("excess") + least) / (2 * more)).cast("int")
+    rows = stored(_by_crowd(rows, facts).where("least_outer IS NOT NULL").withColumn("delta", ordered))
+
+    def prefixes(of: DataFrame, least: Column) -> DataFrame:
+        size = F.size("delta")
+        start = F.slice("delta", F.lit(1), F.greatest(size - needed(least) + 1, F.lit(0)))
+        return of.select("centre", "item", "label", "outer", "excess", "n", "s0", "s1", size.alias("size"), F.posexplode(start).alias("at", "e"))
+
+    x, y = prefixes(rows.where("outer"), F.col("best.excess")).alias("x"), prefixes(rows, F.col("least_outer")).alias("y")
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))  # a pair's first common difference is one of so many at most
+    on = (F.col("x.centre") == F.col("y.centre")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.label") != F.col("y.label")) & (~F.col("y.outer") | (F.col("x.item") < F.col("y.item")))
+    met = x.join(y, on & (2 * more * left >= F.col("x.excess") + F.col("y.excess")) & _alike("x", "y", percent))
+    return certain, _in_order(met.select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))).distinct()
 
 
 ORACLE = r"""
