@@ -58,11 +58,13 @@ _OPEN = _Scratch()
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored within are removed at the end, and the shuffles that nothing refers to any more."""
-    _OPEN.blocks.append([])
+    block: list[Callable[[], object]] = []
+    _OPEN.blocks.append(block)
     try:
         yield
     finally:
-        for undo in _OPEN.blocks.pop():
+        _OPEN.blocks[:] = [b for b in _OPEN.blocks if b is not block]
+        for undo in block:
             undo()
         gc.collect()
         spark.sparkContext._jvm.java.lang.System.gc()

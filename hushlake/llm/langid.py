@@ -13,18 +13,19 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from hushlake.llm.common import importable
 
-#: Rows of each language that the model is fitted on (expected number; which rows is a matter of a hash of the id).
-ROWS_PER_LANGUAGE = 700
+#: Rows of each language that the model is fitted on, and of all of them (expected numbers; which rows is a matter of a hash). The driver gets two sparse vectors of at most BUCKETS numbers for each, never a text.
+ROWS_PER_LANGUAGE, ROWS_IN_ALL = 700, 20_000
 BUCKETS, DIM = 1 << 13, 16
 #: Rejects the share of known rows with the lowest scores, and everything without a letter.
 REJECTED_SHARE = 0.001
@@ -51,10 +52,30 @@ def _buckets(codes: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def features(text: str) -> np.ndarray:
-    """Share of the text's windows in each bucket."""
-    counts = np.bincount(_buckets(_codes(text)), minlength=BUCKETS).astype(np.float32)
-    return counts / max(1.0, counts.sum())
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def features(text: str) -> Sparse:
+    """Buckets that the text's windows fall in, and the share of the windows in each."""
+    counts = np.bincount(_buckets(_codes(text)), minlength=BUCKETS)
+    at = np.flatnonzero(counts)
+    return at, (counts[at] / max(1, counts.sum())).astype(np.float32)
+
+
+def _snippet(text: str) -> str:
+    """A run of 1 to 30 of the text's words, picked by a hash of the text, so that short texts are known as well."""
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    words = text.split()
+    n = int(rng.integers(1, 31))
+    at = int(rng.integers(0, max(1, len(words) - n)))
+    return " ".join(words[at : at + n])
+
+
+def _dense(rows: list[Sparse]) -> np.ndarray:
+    out = np.zeros((len(rows), BUCKETS), np.float32)
+    for k, (at, share) in enumerate(rows):
+        out[k, at] = share
+    return out
 
 
 @dataclass
@@ -82,32 +103,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _snippets(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Each text whole, and a run of 1 to 30 of its words, so that short texts are known as well."""
-    rows, y = [], []
-    for text, label in zip(texts, labels, strict=True):
-        words = text.split()
-        rows.append(features(text))
-        n = int(rng.integers(1, 31))
-        at = int(rng.integers(0, max(1, len(words) - n)))
-        rows.append(features(" ".join(words[at : at + n])))
-        y += [label, label]
-    return np.array(rows, dtype=np.float32).reshape(-1, BUCKETS), np.array(y, dtype=np.int64)
+def fit(texts: list[str], langs: list[str], **how) -> Model:
+    """Train on labelled texts. Texts without a letter teach nothing."""
+    known = [(t, l) for t, l in zip(texts, langs, strict=True) if l is not None and len(_codes(t or ""))]
+    return fit_vectors([(features(t), features(_snippet(t))) for t, _ in known], [l for _, l in known], **how)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 8.0, seed: int = 7) -> Model:
-    """Train on labelled texts, a fifth of which calibrates. Texts without a letter teach nothing."""
-    known = [(t, l) for t, l in zip(texts, langs, strict=True) if l is not None and len(_codes(t or ""))]
-    names = sorted({l for _, l in known})
+def fit_vectors(rows: list[tuple[Sparse, Sparse]], langs: list[str], epochs: int = 30, rate: float = 8.0, seed: int = 7) -> Model:
+    """Train on the vectors of each text and of its snippet; a fifth of the texts calibrates."""
+    names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 0.0)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(known))
-    aside = set(order[: len(known) // 5].tolist())
-    y_all = np.array([names.index(l) for _, l in known])
-    part = lambda keep: ([known[i][0] for i in keep], y_all[keep])
-    train, held = part([i for i in range(len(known)) if i not in aside]), part(sorted(aside))
-    x, y = _snippets(*train, rng)
+    order = rng.permutation(len(rows))
+    of = {l: k for k, l in enumerate(names)}
+    labels = np.array([of[l] for l in langs])
+    held, train = order[: len(rows) // 5], order[len(rows) // 5 :]
+    x, y = [v for k in train for v in rows[k]], np.repeat(labels[train], 2)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32)
     b = np.zeros(len(names), np.float32)
@@ -115,7 +127,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 8.0,
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
-            xb, yb = x[at], y[at]
+            xb, yb = _dense([x[k] for k in at]), y[at]
             hidden = xb @ emb
             g = _softmax(hidden @ w + b)
             g[np.arange(len(yb)), yb] -= 1
@@ -125,12 +137,13 @@ def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 8.0,
             b -= step * 0.01 * g.sum(axis=0)
             emb -= step * 4 * back
     flat = emb @ w
-    x, y = _snippets(*held, rng) if held[0] else (x, y)
-    z = x @ flat + b
+    if len(held):
+        x, y = [v for k in held for v in rows[k]], np.repeat(labels[held], 2)
+    z = np.array([share @ flat[at] for at, share in x]) + b
     loss = lambda t: -np.log(np.maximum(1e-12, _softmax(z / t)[np.arange(len(y)), y])).mean()
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
-    top = _softmax(z[::2] / temperature).max(axis=1)
-    return Model(names, (flat / temperature).astype(np.float64), (b / temperature).astype(np.float64), float(np.quantile(top, REJECTED_SHARE)) * 0.5 if len(top) else 0.0)
+    top = _softmax(z[::2] / temperature).max(axis=1)  # of whole texts
+    return Model(names, (flat / temperature).astype(np.float64), (b / temperature).astype(np.float64), float(np.quantile(top, REJECTED_SHARE)))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -139,42 +152,48 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(df: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fit on about ``rows_per_language`` whole texts of each language, chosen by a hash of the id among the rows not held out."""
+    """Fit on about ``rows_per_language`` whole texts of each language, chosen by a hash of the row among those not held out; repeated rows count once."""
+    importable(df.sparkSession)
     known = df.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], [])
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, rows_per_language / n))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).select("doc_id", "text", "lang")
-    rows = sorted(chosen.limit(4 * rows_per_language * len(counts)).toPandas().itertuples(index=False), key=lambda r: (r.doc_id, r.lang, zlib.crc32(r.text.encode())))
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    wanted = min(rows_per_language, ROWS_IN_ALL / len(counts))
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, wanted / n))])
+    chosen = known.select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h")).where(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).dropDuplicates(["h"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(h, lang, *(v.tobytes() for t in (text, _snippet(text)) for f in [features(t)] for v in (f[0].astype(np.uint16), f[1]))) for h, lang, text in zip(batch["h"], batch["lang"], batch["text"], strict=True) if len(_codes(text))]
+            yield pd.DataFrame(out, columns=["h", "lang", "at", "share", "part_at", "part_share"])
+
+    rows = sorted(chosen.mapInPandas(run, "h long, lang string, at binary, share binary, part_at binary, part_share binary").toPandas().itertuples(index=False), key=lambda r: r.h)
+    read = lambda at, share: (np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(share, np.float32))
+    return fit_vectors([(read(r.at, r.share), read(r.part_at, r.part_share)) for r in rows], [r.lang for r in rows])
+
+
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function from a text column to struct<lang_pred, score, rejected>; the workers get the text alone."""
+    importable(spark)
+    sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages numbers
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        for texts in batches:
+            out = [m.predict(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": [o[0] for o in out], "score": [o[1] for o in out], "rejected": [o[0] == UNKNOWN or o[1] < m.threshold for o in out]})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return pandas_udf(run, "lang_pred string, score double, rejected boolean")
 
 
 def predict(df: DataFrame, model: Model, columns: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """``columns`` of the input with ``lang_pred``, ``score`` and ``rejected``, a row for each input row.
 
     Only the text decides. A null text, or one without a letter, is ``und`` with
-    score 0, and rejected; long texts are read whole; an input column with the
-    name of a result column gives way to it.
+    score 0, and rejected; long texts are read whole; repeated rows have equal
+    results; an input column with the name of a result column gives way to it.
     """
-    importable(df.sparkSession)
     columns = [c for c in columns if c not in ("lang_pred", "score", "rejected")]
-    kept = df.select(*columns, F.col("text").alias("text to read"))
-    sent = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "lang_pred string, score double, rejected boolean"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, done = sent.value, {}
-        for batch in batches:
-            done.clear()
-            out = []
-            for text in batch["text to read"]:
-                if text not in done:
-                    done[text] = m.predict(text)
-                out.append(done[text])
-            frame = batch.drop(columns="text to read")
-            frame["lang_pred"], frame["score"] = [o[0] for o in out], [o[1] for o in out]
-            frame["rejected"] = [o[0] == UNKNOWN or o[1] < m.threshold for o in out]
-            yield frame
-
-    return kept.mapInPandas(run, schema)
+    found = predictor(df.sparkSession, model)(F.col("text"))
+    return df.select(*[F.col(f"`{c}`") for c in columns], found.alias("text read")).select(*[F.col(f"`{c}`") for c in columns], "text read.*")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushlake.llm import bpe, chat, chunks, decontam, flac, html, langid, license, minhash, suffix
-from hushlake.llm.common import table
+from hushlake.llm.common import scratch, stored, table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -23,7 +23,8 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, sf_dir, "documents"), "sha256")
+    with scratch(spark):
+        return stored(suffix.remove_repeats(table(spark, sf_dir, "documents"), "sha256"), result=True)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,14 +23,16 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructField, StructType
 
-from hushlake.llm.common import importable, shared_dir, shuffle_parts
+from hushlake.llm.common import importable, on_release, shared_dir, shuffle_parts
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM + 1
@@ -47,12 +49,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, and the least and the largest offset of an anchor in its windows."""
+#: Windows whose anchors are sought at a time; a long text takes no more work space than this.
+AT_ONCE = 1 << 20
+
+
+def _least_grams(data: np.ndarray) -> np.ndarray:
+    """Place of the anchor of each window of the data."""
     n = len(data)
-    none = np.empty(0, np.int64)
-    if n < LENGTH:
-        return none, none.astype(np.uint8), none.astype(np.uint8)
     h, width, four = data.astype(np.uint64) + np.uint64(1), 1, None
     while width < 16:
         h = h[:-width] * np.uint64(pow(_M, width, 1 << 64)) + h[width:]
@@ -65,17 +68,33 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
         key = np.minimum(key[:-width], key[width:])
         width *= 2
     key = np.minimum(key[: n - LENGTH + 1], key[REACH - 16 : REACH - 16 + n - LENGTH + 1])
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors, and the least and the largest offset of an anchor in its windows."""
+    n = len(data)
     inside = np.zeros(n + 1, np.int8)
     long = sizes >= LENGTH
     inside[starts[long]] += 1
     inside[(starts + sizes - LENGTH + 1)[long]] -= 1
-    window = np.flatnonzero(np.cumsum(inside[: n - LENGTH + 1], dtype=np.int8))
-    if not len(window):
-        return none, none.astype(np.uint8), none.astype(np.uint8)
-    at = (key[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(window) != 1)]))
-    last = np.append(first[1:], len(at)) - 1
-    return at[first], (at[first] - window[last]).astype(np.uint8), (at[first] - window[first]).astype(np.uint8)
+    inside = np.cumsum(inside, dtype=np.int8)
+    parts = []
+    for begin in range(0, max(0, n - LENGTH + 1), AT_ONCE):
+        end = min(begin + AT_ONCE, n - LENGTH + 1)
+        window = np.flatnonzero(inside[begin:end])
+        if len(window):
+            at = _least_grams(data[begin : end + LENGTH - 1])[window]
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            last = np.append(first[1:], len(at)) - 1
+            parts.append((at[first] + begin, at[first] - window[last], at[first] - window[first]))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint8)
+    at, low, high = (np.concatenate(p) for p in zip(*parts, strict=True))
+    again = np.flatnonzero(np.diff(at) == 0)  # an anchor of windows on both sides of a border
+    low[again] = low[again + 1]
+    keep = np.delete(np.arange(len(at)), again + 1)
+    return at[keep], low[keep].astype(np.uint8), high[keep].astype(np.uint8)
 
 
 class Run:
@@ -122,30 +141,43 @@ class Run:
         return rows.view(np.uint8).reshape(-1, _WIDTH), inverse[use][first] if len(use) else use, np.stack([low, high]), use, which
 
 
-def runs_of(df: DataFrame) -> DataFrame:
-    """Rows of (run, ids, sizes, text, at, low, high): documents laid end to end, with their anchors. A null id is the largest."""
+def runs_of(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows of (run, ids, sizes, text, at, low, high, carried): documents laid end to end, with their anchors and their other columns. A null id is the largest."""
+    others = [f"c{k}" for k in range(len(carry))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, held = [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, parts, held = [], [], [], 0
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
             at, low, high = anchors(data, np.cumsum(sizes) - sizes, sizes)
-            name = uuid.UUID(bytes=hashlib.md5(np.array(ids, np.int64).tobytes() + data.tobytes()).digest()).hex + f"-{len(ids)}"
-            return pd.DataFrame({"run": [name], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()], "text": [data.tobytes()], "at": [at.astype(np.int32).tobytes()], "low": [low.tobytes()], "high": [high.tobytes()]})
+            rest = pa.BufferOutputStream()
+            if others:
+                rows = pa.Table.from_batches(parts)
+                with pa.ipc.new_stream(rest, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_table(rows)
+            carried = rest.getvalue().to_pybytes()
+            name = hashlib.md5(np.array(ids, np.int64).tobytes() + data.tobytes() + carried).hexdigest()
+            values = {"run": f"{name}-{len(ids)}", "ids": np.array(ids, np.int64).tobytes(), "sizes": sizes.tobytes(), "text": data.tobytes(), "at": at.astype(np.int32).tobytes(), "low": low.tobytes(), "high": high.tobytes(), "carried": carried}
+            return pa.RecordBatch.from_pydict({k: [v] for k, v in values.items()})
 
         for batch in batches:
-            for i, t in zip(batch["doc_id"], batch["text"], strict=True):
-                ids.append(NOBODY if pd.isna(i) else int(i))
+            begin = 0
+            for k, (i, t) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                ids.append(NOBODY if i is None else i)
                 texts.append((t or "").encode("utf-8", "surrogatepass"))
                 held += len(texts[-1]) + 16
                 if held >= RUN_BYTES:
+                    parts.append(batch.slice(begin, k + 1 - begin).select(others))
                     yield out()
-                    ids, texts, held = [], [], 0
+                    ids, texts, parts, held, begin = [], [], [], 0, k + 1
+            if begin < batch.num_rows:
+                parts.append(batch.slice(begin).select(others))
         if ids:
             yield out()
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "run string, ids binary, sizes binary, text binary, at binary, low binary, high binary")
+    read = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(o) for c, o in zip(carry, others, strict=True)])
+    return read.mapInArrow(run, "run string, ids binary, sizes binary, text binary, at binary, low binary, high binary, carried binary")
 
 
 def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -238,17 +270,21 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
 def least_documents(rows: np.ndarray, common: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For merged entries: (entry, first offset, last offset, least document of the windows at these offsets), where it is less than some document of the entry."""
     n = len(rows)
-    left = np.zeros(n, np.uint64)
+    # Bytes left of the anchors, sorted: those that agree in o bytes are neighbours there.
+    left = np.ascontiguousarray(rows[:, LENGTH : LENGTH + REACH - 1])
+    by_left = np.argsort(left.view(f"V{REACH - 1}").ravel(), kind="stable")
+    same = left[by_left[1:]] == left[by_left[:-1]]
+    agree = np.where(same.all(axis=1), REACH, np.argmin(same, axis=1))
     kept, since, out = np.full(n, NOBODY), np.zeros(n, np.int64), []
     for o in range(REACH + 1):
         now = np.full(n, NOBODY)
         if o < REACH:
-            if o:
-                left = _mix(left * np.uint64(_M) + rows[:, LENGTH + o - 1] + np.uint64(1))
             on = np.flatnonzero((rows[:, -2] <= o) & (rows[:, -1] >= o))
             if len(on):
-                interval = np.cumsum(common < LENGTH - o).astype(np.uint64)[on]
-                _, inverse = np.unique(_mix(interval * np.uint64(_M) + np.uint64(7)) ^ left[on], return_inverse=True)
+                side = np.empty(n, np.int64)
+                side[by_left] = np.cumsum(np.concatenate([[0], agree < o]))
+                interval = np.cumsum(common < LENGTH - o)
+                _, inverse = np.unique(interval[on] * n + side[on], return_inverse=True)
                 least = np.full(inverse.max() + 1, NOBODY)
                 np.minimum.at(least, inverse, low[on])
                 now[on] = np.where(least[inverse] < high[on], least[inverse], NOBODY)
@@ -263,18 +299,26 @@ def least_documents(rows: np.ndarray, common: np.ndarray, low: np.ndarray, high:
 FORMS = {"bytes": ("kept", "binary", bytes), "text": ("kept", "string", lambda b: b.decode("utf-8", "ignore")), "sha256": ("kept_sha256", "string", lambda b: hashlib.sha256(b).hexdigest())}
 
 
-def remove_repeats(df: DataFrame, form: str = "bytes") -> DataFrame:
+def remove_repeats(df: DataFrame, form: str = "bytes", carry: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``: what is left of each text in one of FORMS, a row for each input row.
 
     Nulls and empty texts have no bytes; a null id is larger than any other and
     rows that share an id don't count against each other, so of repeated rows
-    none loses anything to another. Strings are judged on the input.
+    none loses anything to another. Strings are judged on the input. Ids must be
+    integers, as their order decides. A text of any length is one row; extra
+    columns aren't read, but for those of ``carry``, which come back in a struct
+    ``row``. An empty table gives an empty one. The table of runs goes with the
+    scratch block around the call.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer")
     importable(spark)
     parts = shuffle_parts(spark)
     name = f"hushlake_runs_{uuid.uuid4().hex}"
-    runs_of(df).write.bucketBy(parts, "run").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    runs_of(df, carry).write.bucketBy(parts, "run").option("compression", "zstd").option("path", path).saveAsTable(name)
+    on_release(spark, path, lambda: spark.sql(f"DROP TABLE IF EXISTS {name}"))
     runs = spark.table(name)
     size = runs.agg(F.sum(F.octet_length("at"))).first()[0] or 0
     tasks = max(parts, size // 4 // PER_TASK + 1)
@@ -297,7 +341,8 @@ def remove_repeats(df: DataFrame, form: str = "bytes") -> DataFrame:
         split = np.split(shared[inverse], np.cumsum(sizes)[:-1])
         return pd.DataFrame({"part": group["part"], "run": group["run"], "n": sizes, "shared": [np.packbits(s).tobytes() for s in split]})
 
-    sent = runs.select("run", "ids", "sizes", "text", "at", "low", "high").mapInPandas(send_keys, "part int, run string, keys binary, several binary")
+    needed = ("run", "ids", "sizes", "text", "at", "low", "high")
+    sent = runs.select(*needed).mapInPandas(send_keys, "part int, run string, keys binary, several binary")
     matched = sent.groupBy("part").applyInPandas(match_keys, "part int, run string, n int, shared binary")
     bits = matched.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("part", "n", "shared"))).alias("shared"))
 
@@ -337,41 +382,56 @@ def remove_repeats(df: DataFrame, form: str = "bytes") -> DataFrame:
         return pd.DataFrame(out, columns=["part", "run", "answers"])
 
     with_bits = runs.join(bits.hint("shuffle_hash"), "run", "left")
-    suffixes = with_bits.mapInPandas(send_suffixes, "part int, run string, n int, coded binary, docs binary")
+    suffixes = with_bits.drop("carried").mapInPandas(send_suffixes, "part int, run string, n int, coded binary, docs binary")
     answers = suffixes.groupBy("part").applyInPandas(merge_suffixes, "part int, run string, answers binary")
     answers = answers.groupBy("run").agg(F.collect_list(F.struct("part", "answers")).alias("answers"))
     last, kind, made = FORMS[form]
+    row_type = StructType([StructField(c, df.schema[c].dataType) for c in carry])
+
+    def removed(row) -> np.ndarray:
+        """Which bytes of a run go."""
+        run = Run(row)
+        gone = np.zeros(len(run.data) + 1, np.int32)
+        if row.answers is not None and len(row.answers):
+            run, rows, docs, part, use, which = entries(row)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(tasks + 1))
+            got = [np.concatenate([order[cut[a["part"]] + (m := np.frombuffer(zlib.decompress(a["answers"]), np.int64).reshape(4, -1))[0]][None], m[1:]]) for a in row.answers]
+            entry, begin, end, least = np.concatenate(got, axis=1)
+            by_entry = np.argsort(which, kind="stable")
+            count = np.bincount(which, minlength=len(rows))
+            start = np.cumsum(count) - count
+            times = count[entry]
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            anchor = use[by_entry[np.repeat(start[entry], times) + step]]
+            hit = np.repeat(least, times) < run.doc[anchor]
+            where, b, e = run.at[anchor[hit]], np.repeat(begin, times)[hit], np.repeat(end, times)[hit]
+            np.add.at(gone, where - e, 1)
+            np.add.at(gone, where - b + LENGTH, -1)
+        return np.cumsum(gone[:-1]) > 0
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                run = Run(row)
-                gone = np.zeros(len(run.data) + 1, np.int32)
-                if row.answers is not None and len(row.answers):
-                    run, rows, docs, part, use, which = entries(row)
-                    order = np.argsort(part, kind="stable")
-                    cut = np.searchsorted(part[order], np.arange(tasks + 1))
-                    got = [np.concatenate([order[cut[a["part"]] + (m := np.frombuffer(zlib.decompress(a["answers"]), np.int64).reshape(4, -1))[0]][None], m[1:]]) for a in row.answers]
-                    entry, begin, end, least = np.concatenate(got, axis=1)
-                    by_entry = np.argsort(which, kind="stable")
-                    count = np.bincount(which, minlength=len(rows))
-                    start = np.cumsum(count) - count
-                    times = count[entry]
-                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    anchor = use[by_entry[np.repeat(start[entry], times) + step]]
-                    hit = np.repeat(least, times) < run.doc[anchor]
-                    where, b, e = run.at[anchor[hit]], np.repeat(begin, times)[hit], np.repeat(end, times)[hit]
-                    np.add.at(gone, where - e, 1)
-                    np.add.at(gone, where - b + LENGTH, -1)
-                mask = np.cumsum(gone[:-1]) > 0
-                out = []
+                run, mask, out = Run(row), removed(row), []
                 for i, s, n in zip(run.ids.tolist(), run.starts.tolist(), run.sizes.tolist(), strict=True):
                     m = mask[s : s + n]
-                    rest = run.data[s : s + n][~m].tobytes()
                     spans = int(m[:1].sum()) + int((m[1:] & ~m[:-1]).sum())
-                    out.append((None if i == NOBODY else i, n, int(m.sum()), spans, made(rest)))
+                    out.append((None if i == NOBODY else i, n, int(m.sum()), spans, made(run.data[s : s + n][~m].tobytes())))
                 frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", last])
                 frame["doc_id"] = pd.array([o[0] for o in out], "Int64")
                 yield frame
 
-    return with_bits.join(answers.hint("shuffle_hash"), "run", "left").mapInPandas(apply, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+    def apply_and_carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pandas()
+            for k, frame in enumerate(apply(rows.iloc[j : j + 1] for j in range(len(rows)))):
+                out = pa.RecordBatch.from_pandas(frame, preserve_index=False)
+                carried = pa.ipc.open_stream(rows["carried"].iloc[k]).read_all().combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.StructArray.from_arrays(carried.columns, row_type.names)], [*out.schema.names, "row"])
+
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}"
+    answered = with_bits.join(answers.hint("shuffle_hash"), "run", "left")
+    if not carry:
+        return answered.drop("carried").mapInPandas(apply, schema)
+    return answered.mapInArrow(apply_and_carry, f"{schema}, row {row_type.simpleString()}")
