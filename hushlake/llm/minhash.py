@@ -12,8 +12,8 @@ sets, and components come from alternating star contraction of the links, a
 distributed union-find.
 
 A bucket of more than FEW items is never compared pair by pair. Its items are
-described by their difference from the majority set of the crowd around the
-bucket's least member. Two sets of sizes m and n, differences D and E, and
+described by their difference from the majority set of the crowd, the items of
+all buckets with the same largest component. Two sets of sizes m and n, differences D and E, and
 percentage p are linked just if
 
     2 (100 + p) |D & E| >= [(100 + p) |D| - (100 - p) m] + [(100 + p) |E| - (100 - p) n]
@@ -233,15 +233,15 @@ def _grouped(df: DataFrame, percent: int, size: int) -> DataFrame:
     links = _confirmed(_elements(df, items, _ends(pairs), size), pairs, percent)
     labels = components(links)
 
-    # Buckets that still hold several components.
-    held = stored(shared.join(labels, "item", "left").select("bucket", "item", "centre", F.coalesce("label", "item").alias("label")))
+    # Buckets that still hold several components. A crowd is gathered around the largest component of its buckets.
+    held = stored(shared.join(labels, "item", "left").select("bucket", "item", F.coalesce("label", "item").alias("label")))
     mixed = held.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.sum("k").alias("held")).where("labels > 1").select("bucket", F.col("top.label").alias("largest"), "held")
     held = stored(held.join(mixed, "bucket"))
     few = held.where(F.col("held") <= FEW).join(brief.drop("key"), "item")
     once = (F.col("y.label") == F.col("y.largest")) | (F.col("x.item") < F.col("y.item"))
     rest = few.where("label <> largest").alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & _alike("x", "y", percent))
     rest = stored(_in_order(rest.select(F.col("x.item").alias("a"), F.col("y.item").alias("b"))).distinct().join(_in_order(pairs), ["a", "b"], "left_anti"))
-    crowds = stored(held.where(F.col("held") > FEW).select("centre", "item", "label").distinct())
+    crowds = stored(held.where(F.col("held") > FEW).select(F.col("largest").alias("centre"), "item", "label").distinct())
 
     elements = _elements(df, items, _ends(rest).union(crowds.select("item")).distinct(), size)
     certain, more = (pairs.limit(0), pairs.limit(0)) if crowds.isEmpty() else _crowded(crowds, elements, brief, percent)
