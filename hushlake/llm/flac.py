@@ -1,17 +1,19 @@
 """FLAC as a media column: bytes of 8-bit samples, written and read losslessly.
 
-The writer picks the smallest of a constant, a verbatim and a fixed-predictor
-subframe with Rice-coded residuals for each block. The reader also knows linear
-predictors and partitioned Rice codes, verifies the checksums of every frame
-header and frame and the digest of the whole, and can start at any block through
-the seek table. Everything but the recursion of a linear predictor is numpy.
+The writer picks the smallest of a constant, a verbatim, a fixed-predictor and a
+linear-predictor subframe for each block, the latter two with Rice-coded
+residuals in one or several partitions. The reader verifies the checksums of
+every frame header and frame, the sample offsets of the seek table and the digest
+of the whole, and can start at any block. Both are numpy: Rice codes are found by
+pointer jumping, and the recursion of linear predictors runs over the samples of
+many frames in step.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,12 @@ from pyspark.sql import functions as F
 from hushlake.llm.common import importable
 
 BLOCK, RATE, BITS = 4096, 8000, 8
+#: Linear predictors: order, bits of a coefficient, and the shortest block that may have one.
+ORDER, PRECISION, LEAST_LINEAR = 8, 12, 192
+#: Partitions of the residual are tried by these powers of two.
+PARTITIONS = (0, 2)
+#: Payload bytes that are read back at a time; linear predictors run in step over their frames.
+TOGETHER = 1 << 22
 PAD = 64
 _CRC_LONGEST = BLOCK + 64
 
@@ -79,22 +87,59 @@ def _number(n: int) -> bytes:
     return bytes([lead, *reversed(tail)])
 
 
-def _rice_bits(residual: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """Bits of one Rice partition, its parameter, the folded residuals."""
-    z = (residual << 1) ^ (residual >> 31)
-    mean = max(1, int(z.sum()) // max(1, len(z)))
-    first = max(0, mean.bit_length() - 2)
-    return min(((int((z >> k).sum()) + len(z) * (k + 1), k) for k in range(first, min(15, first + 3))), default=(0, 0)) + (z,)
+def _folded(residual: np.ndarray) -> np.ndarray:
+    return (residual << 1) ^ (residual >> 31)
 
 
-def _rice_code(z: np.ndarray, k: int) -> np.ndarray:
-    """The bits of folded residuals: the quotient in unary, a one, the rest in k bits."""
-    q = z >> k
-    ends = np.cumsum(q + 1 + k)
-    bits = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+def _parameters(z: np.ndarray) -> range:
+    """The Rice parameters that may be the best."""
+    first = max(0, max(1, int(z.sum()) // max(1, len(z))).bit_length() - 2)
+    return range(first, min(15, first + 3))
+
+
+def _rice_bits(z: np.ndarray) -> int:
+    """Bits of the folded residuals in one partition, without its header."""
+    return min(int((z >> k).sum()) + len(z) * (k + 1) for k in _parameters(z))
+
+
+def _rice_plan(z: np.ndarray, order: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Bits of the folded residuals with their headers, the power of the partitions, their first places and parameters."""
+    n, ks = len(z) + order, np.array(_parameters(z), np.int32)
+    sums = np.zeros((len(ks), len(z) + 1), np.int32)
+    for row, k in zip(sums, ks, strict=True):
+        np.cumsum(z >> k, out=row[1:])
+    best = None
+    for power in PARTITIONS:
+        size = n >> power
+        if power and (n & (1 << power) - 1 or size <= order):
+            break
+        edges = np.concatenate([[0], np.arange(1, 1 << power) * size - order, [len(z)]])
+        bits = np.diff(sums[:, edges]) + np.diff(edges) * (ks[:, None] + 1)
+        total = int(bits.min(axis=0).sum()) + 4 * (1 << power)
+        if best is None or total < best[0]:
+            best = total, power, edges[:-1], ks[bits.argmin(axis=0)]
+    return best
+
+
+def _rice_code(z: np.ndarray, first: np.ndarray, ks: np.ndarray) -> np.ndarray:
+    """The bits of folded residuals: each partition's parameter, then the quotients in unary, a one, the rest in k bits."""
+    if not len(z):
+        return _in_bits(int(ks[0]), 4)
+    k = ks[0] if (ks == ks[0]).all() else np.repeat(ks, np.diff(np.append(first, len(z))))
+    length = (z >> k) + (1 + k)
+    length[first] += 4
+    ends = np.cumsum(length, dtype=np.int32)
+    bits = np.zeros(int(ends[-1]), np.uint8)
+    heads = ends[first] - length[first]
+    for j in range(4):
+        bits[heads + j] = ks >> (3 - j) & 1
     bits[ends - 1 - k] = 1
-    for j in range(k):
-        bits[ends - k + j] = z >> (k - 1 - j) & 1
+    for j in range(int(ks.max())):  # from the last bit on
+        has = k > j
+        if np.all(has):
+            bits[ends - 1 - j] = z >> j & 1
+        else:
+            bits[ends[has] - 1 - j] = z[has] >> j & 1
     return bits
 
 
@@ -102,24 +147,54 @@ def _in_bits(value: int, n: int) -> np.ndarray:
     return np.array([value >> (n - 1 - j) & 1 for j in range(n)], np.uint8)
 
 
+def _linear(x: np.ndarray) -> tuple[np.ndarray, int, np.ndarray] | None:
+    """Coefficients, shift and residual of a linear predictor, by autocorrelation and Levinson's recursion."""
+    f = x.astype(np.float64)
+    r = [float(f[k:] @ f[: len(f) - k]) for k in range(ORDER + 1)]
+    a, error = [], r[0] * (1 + 1e-9) + 1e-9
+    for i in range(ORDER):
+        reflected = (r[i + 1] - sum(c * r[i - j] for j, c in enumerate(a))) / error
+        a = [c - reflected * d for c, d in zip(a, reversed(a), strict=True)] + [reflected]
+        error *= 1 - reflected * reflected
+        if error <= 0:
+            return None
+    largest = max(map(abs, a))
+    if not 0 < largest < 1 << PRECISION - 1:
+        return None
+    limit = (1 << PRECISION - 1) - 1
+    shift = max(0, min(15, PRECISION - 1 - int(np.ceil(np.log2(largest + 2.0**-PRECISION)))))
+    coef = np.clip(np.rint(np.array(a) * (1 << shift)), -limit, limit).astype(np.int32)
+    guess = np.zeros(len(x) - ORDER, np.int32)
+    for j, c in enumerate(coef.tolist()):
+        guess += c * x[ORDER - 1 - j : len(x) - 1 - j]
+    return coef, shift, x[ORDER:] - (guess >> shift)
+
+
 def _subframe(x: np.ndarray) -> bytes:
     """The smallest subframe of one block of samples (int32)."""
     raw = x.astype(np.int8)
     if (raw == raw[0]).all():
         return b"\x00" + raw[:1].tobytes()
-    best, order, r = None, 0, x
-    for k in range(5):
-        if k >= len(x):
+    cost, order, r, d = int(np.abs(x).sum()), 0, x, x
+    for k in range(1, min(5, len(x))):
+        d = d[1:] - d[:-1]
+        if (now := int(np.abs(d).sum())) >= cost:
             break
-        cost = int(np.abs(r).sum())
-        if best is None or cost < best:
-            best, order, chosen = cost, k, r
-        r = np.diff(r)
-    bits, k, z = _rice_bits(chosen)
-    if 8 * (1 + order) + 10 + bits >= 8 + 8 * len(x):
+        cost, order, r = now, k, d
+    z = _folded(r)
+    bits, head = 8 * (1 + order) + 6 + _rice_bits(z), [_in_bits(0x08 | order, 7), _in_bits(0, 1), np.unpackbits(raw[:order].view(np.uint8))]
+    if len(x) >= LEAST_LINEAR and (linear := _linear(x)) is not None:
+        coef, shift, r = linear
+        folded = _folded(r)
+        total = 8 * (1 + ORDER) + 9 + PRECISION * ORDER + 6 + _rice_bits(folded)
+        if total < bits:
+            bits, order, z = total, ORDER, folded
+            words = (coef[:, None] >> np.arange(PRECISION - 1, -1, -1) & 1).astype(np.uint8).ravel()
+            head = [_in_bits(0x20 | ORDER - 1, 7), _in_bits(0, 1), np.unpackbits(raw[:ORDER].view(np.uint8)), _in_bits(PRECISION - 1, 4), _in_bits(shift, 5), words]
+    plan = _rice_plan(z, order)
+    if sum(map(len, head)) + 6 + plan[0] >= 8 + 8 * len(x):
         return b"\x02" + raw.tobytes()
-    parts = [_in_bits(0x08 | order, 7), _in_bits(0, 1), np.unpackbits(raw[:order].view(np.uint8)), _in_bits(0, 2), _in_bits(0, 4), _in_bits(k, 4), _rice_code(z, k)]
-    return np.packbits(np.concatenate(parts)).tobytes()
+    return np.packbits(np.concatenate([*head, _in_bits(0, 2), _in_bits(plan[1], 4), _rice_code(z, plan[2], plan[3])])).tobytes()
 
 
 def encode(payload: bytes) -> bytes:
@@ -164,6 +239,26 @@ def _header(media: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], int]:
     return total, digest, points, at
 
 
+def _chain(after: np.ndarray, j: int, count: int) -> np.ndarray | None:
+    """j, after[j], after[after[j]] and so on; None if it ends before ``count``. Steps of 16 are found by doubling, and filled in."""
+    n = len(after)
+    if j >= n:
+        return None
+    steps = [np.append(after, n)]  # n stands for the end, and stays
+    np.minimum(steps[0], n, out=steps[0])
+    for _ in range(4):
+        steps.append(steps[-1].take(steps[-1]))
+    far, starts = steps[4], [j]
+    for _ in range((count - 1) // 16):
+        starts.append(far[starts[-1]])
+    out = np.empty((len(starts), 16), np.int64)
+    out[:, 0] = starts
+    for width, step in zip((1, 2, 4, 8), steps, strict=False):
+        out[:, width : 2 * width] = step.take(out[:, :width])
+    out = out.ravel()[:count]
+    return out if out[-1] < n else None
+
+
 class _Bits:
     def __init__(self, data: bytes, at: int) -> None:
         self.data, self.at = data, at * 8
@@ -187,15 +282,9 @@ class _Bits:
             bits = np.unpackbits(np.frombuffer(self.data[first : first + window], np.uint8))
             rank = np.cumsum(bits, dtype=np.int32)
             ones = np.flatnonzero(bits)
-            after = rank.take(ones + k, mode="clip").tolist()
-            begin, found = self.at - first * 8, []
-            j, n, add = int(rank[begin - 1]) if begin else 0, len(ones), found.append
-            for _ in range(count):
-                if j >= n:
-                    break
-                add(j)
-                j = after[j]
-            if len(found) == count and ones[found[-1]] + k < len(bits):
+            begin = self.at - first * 8
+            found = _chain(rank.take(ones + k, mode="clip"), int(rank[begin - 1]) if begin else 0, count)
+            if found is not None and ones[found[-1]] + k < len(bits):
                 break
             if first + window >= len(self.data):
                 raise Damaged("residuals end early")
@@ -223,8 +312,48 @@ def _residual(r: _Bits, n: int, order: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _samples(media: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    """One subframe's samples, and the byte after it."""
+class _Linear:
+    """A linear predictor's subframe before its recursion."""
+
+    def __init__(self, warm: list[int], coef: list[int], shift: int, residual: np.ndarray) -> None:
+        self.warm, self.coef, self.shift, self.residual = warm, coef, shift, residual
+
+
+def _recursion(frames: list[_Linear]) -> list[np.ndarray]:
+    """Samples of linear predictors of one order, all frames in step: sample t of each is made at a time."""
+    order, longest = len(frames[0].coef), max(len(f.residual) for f in frames)
+    kind = np.int32  # 32 coefficients of 15 bits times samples of 8 bits stay within 27 bits
+    x, e = np.zeros((order + longest, len(frames)), kind), np.zeros((longest, len(frames)), kind)
+    for k, f in enumerate(frames):
+        x[:order, k] = f.warm
+        e[: len(f.residual), k] = f.residual
+    coef, shift = np.array([f.coef[::-1] for f in frames], kind).T.copy(), np.array([f.shift for f in frames], kind)
+    product, guess = np.empty_like(coef), np.empty_like(shift)
+    for t in range(longest):
+        np.multiply(coef, x[t : t + order], out=product)
+        np.add.reduce(product, axis=0, out=guess)
+        np.right_shift(guess, shift, out=guess)
+        np.add(e[t], guess, out=x[t + order])
+    return [x[: order + len(f.residual), k].astype(np.int64) for k, f in enumerate(frames)]
+
+
+def _solved(found: list[np.ndarray | _Linear]) -> list[np.ndarray]:
+    """The samples of frames, those of linear predictors of one order in groups that bound the work space."""
+    by_order: dict[int, list[int]] = {}
+    for k, f in enumerate(found):
+        if isinstance(f, _Linear):
+            by_order.setdefault(len(f.coef), []).append(k)
+    out = list(found)
+    for places in by_order.values():
+        places.sort(key=lambda k: len(found[k].residual))
+        for at in range(0, len(places), 512):
+            for k, x in zip(places[at : at + 512], _recursion([found[k] for k in places[at : at + 512]]), strict=True):
+                out[k] = x
+    return out
+
+
+def _subframe_at(media: bytes, at: int, n: int) -> tuple[np.ndarray | _Linear, int, int]:
+    """One subframe, its wasted bits, and the byte after it."""
     head = media[at]
     kind, wasted = head >> 1 & 0x3F, 0
     r = _Bits(media, at)
@@ -249,20 +378,20 @@ def _samples(media: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
             x = np.cumsum(np.concatenate([[np.diff(warm[:k], k - 1)[0] if k > 1 else warm[0]], x]))
     elif kind >= 32:
         order = kind - 31
-        out = [r.signed(bits) for _ in range(order)]
-        precision, shift = r.take(4) + 1, 0
+        warm = [r.signed(bits) for _ in range(order)]
+        precision = r.take(4) + 1
         shift = r.signed(5)
+        if precision == 16 or shift < 0:
+            raise Damaged("reserved predictor")
         coef = [r.signed(precision) for _ in range(order)]
-        for e in _residual(r, n, order).tolist():
-            out.append(e + (sum(c * s for c, s in zip(coef, reversed(out[-order:]))) >> shift))
-        x = np.array(out, np.int64)
+        x = _Linear(warm, coef, shift, _residual(r, n, order))
     else:
         raise Damaged("reserved subframe")
-    return x << wasted, r.at + 7 >> 3
+    return x, wasted, r.at + 7 >> 3
 
 
-def _frame(media: bytes, at: int) -> tuple[np.ndarray, int]:
-    """Samples of the frame at a byte, and the byte after it; both of its checksums are verified."""
+def _frame(media: bytes, at: int) -> tuple[np.ndarray | _Linear, int, int, int]:
+    """The subframe of the frame at a byte, its wasted bits and samples, and the byte after the frame; both of its checksums are verified."""
     if media[at : at + 2] != b"\xff\xf8":
         raise Damaged("no frame where one should be")
     size_code, p = media[at + 2] >> 4, at + 4
@@ -277,39 +406,52 @@ def _frame(media: bytes, at: int) -> tuple[np.ndarray, int]:
     p += {12: 1, 13: 2, 14: 2}.get(media[at + 2] & 15, 0)
     if crc8(media[at:p]) != media[p]:
         raise Damaged("frame header checksum")
-    x, end = _samples(media, p + 1, n)
+    x, wasted, end = _subframe_at(media, p + 1, n)
     if crc16(media[at:end]) != int.from_bytes(media[end : end + 2], "big"):
         raise Damaged("frame checksum")
-    return x, end + 2
-
-
-def blocks(media: bytes) -> Iterator[tuple[int, bytes]]:
-    """PCM blocks as (offset of the first sample, its bytes), each verified; the whole is verified at the end."""
-    total, digest, _, at = _header(media)
-    done, seen = 0, hashlib.md5()
-    while done < total:
-        x, at = _frame(media, at)
-        pcm = x.astype(np.int8)
-        seen.update(pcm.tobytes())
-        yield done, (pcm.astype(np.int16) + 128).astype(np.uint8).tobytes()
-        done += len(x)
-    if seen.digest() != digest and any(digest):
-        raise Damaged("digest of the samples")
+    return x, wasted, n, end + 2
+
+
+def _pcm(x: np.ndarray, wasted: int) -> bytes:
+    return ((x << wasted) + 128).astype(np.uint8).tobytes()
+
+
+def read_blocks(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """Of each stream its PCM blocks as (offset of the first sample, its bytes); frames, seek points and the whole are verified."""
+    found, wasted, shape, heads = [], [], [], [_header(m) for m in streams]
+    for media, (total, _, points, first) in zip(streams, heads, strict=True):
+        at, done, of = first, 0, []
+        places = {offset: sample for sample, offset, n in points}
+        while done < total:
+            if places.get(at - first, done) != done:
+                raise Damaged("seek table")
+            x, w, n, at = _frame(media, at)
+            found.append(x)
+            wasted.append(w)
+            of.append(done)
+            done += n
+        shape.append(of)
+    solved, out, k = _solved(found), [], 0
+    for of, (_, digest, _, _) in zip(shape, heads, strict=True):
+        pcm = [_pcm(x, w) for x, w in zip(solved[k : k + len(of)], wasted[k : k + len(of)], strict=True)]
+        k += len(of)
+        if any(digest) and hashlib.md5((np.frombuffer(b"".join(pcm), np.uint8) ^ 0x80).tobytes()).digest() != digest:
+            raise Damaged("digest of the samples")
+        out.append(list(zip(of, pcm, strict=True)))
+    return out
 
 
 def decode(media: bytes) -> bytes:
-    return b"".join(pcm for _, pcm in blocks(media))
+    return b"".join(pcm for _, pcm in read_blocks([media])[0])
 
 
 def read_range(media: bytes, start: int, count: int) -> bytes:
     """Samples ``start`` to ``start + count``, from the frames that hold them alone."""
     total, _, points, first = _header(media)
-    stop, out = min(total, start + count), []
-    for sample, offset, n in points:
-        if sample < stop and sample + n > start:
-            x, _ = _frame(media, first + offset)
-            out.append((x[max(0, start - sample) : stop - sample] + 128).astype(np.uint8).tobytes())
-    return b"".join(out)
+    stop = min(total, start + count)
+    met = [(sample, _frame(media, first + offset)) for sample, offset, n in points if sample < stop and sample + n > start]
+    solved = _solved([f[0] for _, f in met])
+    return b"".join(_pcm(x, f[1])[max(0, start - sample) : stop - sample] for x, (sample, f) in zip(solved, met, strict=True))
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -326,34 +468,50 @@ def feature(pcm: bytes) -> str:
     return f"{mean:.3f} {spread:.3f} {int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
 
 
+def _groups(items: list, size: Callable[[object], int]) -> Iterator[list]:
+    """The items in order, in lists of about TOGETHER bytes."""
+    group, held = [], 0
+    for item in items:
+        group.append(item)
+        held += size(item)
+        if held >= TOGETHER:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def media_column(df: DataFrame, with_media: bool = False) -> DataFrame:
-    """Store each text as FLAC, read it back, and describe what was read: a row for each input row.
+    """Store each text as FLAC, read its PCM blocks back, and describe what was read: a row for each input row.
 
     ``with_media`` adds the stream itself. Nulls and empty texts have a payload
-    of 64 zeros; equal texts have equal streams; null ids are passed on.
+    of 64 zeros; equal texts have equal streams; null ids are passed on; a long
+    text is many blocks of one stream; extra columns aren't read; an empty table
+    gives an empty one. ``last_offset`` is the sample offset of the last block.
     """
     importable(df.sparkSession)
     kind = df.schema["doc_id"].dataType.simpleString()
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "last_offset"]
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, last_offset long" + ", media binary" * with_media
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def rows_of(texts: list[str]) -> list[tuple]:
+        payloads = [payload_of(t) for t in texts]
+        streams = [encode(p) for p, _ in payloads]
+        out = []
+        for (_, n), media, found in zip(payloads, streams, read_blocks(streams), strict=True):
+            back = b"".join(pcm for _, pcm in found)
+            out.append((n, len(back), sha(back), zlib.crc32(back[-PAD:]), len(media), sha(media), feature(back), len(found), found[-1][0], *([media] if with_media else [])))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            rows, done = [], {}
-            for text in batch["text"]:
-                text = text or ""
-                if text not in done:
-                    payload, n = payload_of(text)
-                    media = encode(payload)
-                    back = decode(media)
-                    done[text] = (n, len(back), sha(back), zlib.crc32(back[-PAD:]), len(media), sha(media), feature(back), media)
-                rows.append(done[text])
-            out = pd.DataFrame([r[:7] for r in rows], columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            if with_media:
-                out["media"] = [r[7] for r in rows]
-            yield out
+            for group in _groups(list(zip(batch["doc_id"], batch["text"], strict=True)), lambda r: len(r[1] or "") + PAD):
+                texts = list(dict.fromkeys(t or "" for _, t in group))
+                of = dict(zip(texts, rows_of(texts), strict=True))
+                out = pd.DataFrame([of[t or ""] for _, t in group], columns=names + ["media"] * with_media)
+                out.insert(0, "doc_id", pd.Series([None if pd.isna(i) else i for i, _ in group], dtype=object))
+                yield out
 
     return df.select("doc_id", "text").mapInPandas(run, schema)
 
@@ -365,7 +523,8 @@ def pcm_blocks(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, at, len(pcm), pcm) for i, m in zip(batch["doc_id"], batch["media"], strict=True) if m is not None for at, pcm in blocks(bytes(m))]
-            yield pd.DataFrame(rows, columns=["doc_id", "sample_offset", "n_samples", "pcm"])
+            for group in _groups([(i, bytes(m)) for i, m in zip(batch["doc_id"], batch["media"], strict=True) if m is not None], lambda r: len(r[1])):
+                rows = [(None if pd.isna(i) else i, at, len(pcm), pcm) for (i, _), found in zip(group, read_blocks([m for _, m in group]), strict=True) for at, pcm in found]
+                yield pd.DataFrame(rows, columns=["doc_id", "sample_offset", "n_samples", "pcm"]).astype({"doc_id": object})
 
     return df.select("doc_id", F.col("media")).mapInPandas(run, f"doc_id {kind}, sample_offset long, n_samples long, pcm binary")
