@@ -20,8 +20,8 @@ MIN_MATCH = 10
 MIN_IDENTITY = 0.8
 #: A run along the diagonal gains 1 for an equal word and loses this for another one.
 PENALTY = 3
-#: Seeds of the benchmark that are sent to every executor (each some 60 bytes beside its item's words); more are joined by a shuffle.
-MAX_BROADCAST = 500_000
+#: Bytes of the benchmark's seeds that are sent to every executor; more are joined by a shuffle. Each row has a hash, an id, a hash of the item and a position.
+MAX_BROADCAST, ROW_BYTES = 96 << 20, 64
 
 
 def words(text: Column) -> Column:
@@ -64,27 +64,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     Nulls and empty texts match nothing. An item shorter than the shortest mask is
     sought as the sequence of all its words.
     Rows that share a doc_id (a null is an id as well) count as one document;
-    of tied overlaps the figures are equal, so ties need no choice. Empty tables
-    give an empty result.
+    of tied overlaps the figures are equal, so ties need no choice. Texts of any
+    length are hashed whole; extra columns aren't read. Empty tables give an
+    empty result.
     """
-    d = docs.select("doc_id", words(F.col("text")).alias("w"))
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).distinct()
+    # Rows are told apart by id and text, so rows that share an id, or have none, don't meet each other's hits.
+    d = docs.select("doc_id", F.xxhash64("text").alias("of_doc"), "text")
+    items = benchmark.select("item_id", F.xxhash64("text").alias("of_item"), words(F.col("text")).alias("w")).distinct()
     shortest = min(map(len, masks))
     short = {"1" * n: n for (n,) in items.select(F.size("w")).distinct().collect() if 0 < n < shortest}  # a mask for each length, of which there are few
-    keyed = seeds(items, ["item_id", "w"], masks)
+    keyed = seeds(items, ["item_id", "of_item"], masks)
     for mask, n in short.items():
-        keyed = keyed.union(seeds(items.where(F.size("w") == n), ["item_id", "w"], (mask,)))
-    masks = (*masks, *short)
-    keyed = keyed.select("item_id", F.col("w").alias("item"), F.col("i").alias("at"), "h")
-    few = keyed.limit(max_broadcast + 1).count() <= max_broadcast
-    if few:
-        hits = seeds(d, ["doc_id", "w"], masks).join(F.broadcast(keyed), "h").select("doc_id", "w", "item_id", "item", (F.col("i") - F.col("at")).alias("diagonal"))
-    else:
-        found = seeds(d, ["doc_id"], masks).join(keyed.drop("item"), "h").select("doc_id", "item_id", (F.col("i") - F.col("at")).alias("diagonal")).distinct()
-        hits = found.alias("f").join(d.alias("d"), F.col("f.doc_id").eqNullSafe(F.col("d.doc_id"))).select("f.*", "d.w").alias("g").join(items.withColumnRenamed("w", "item").alias("t"), F.col("g.item_id").eqNullSafe(F.col("t.item_id"))).select("g.*", "t.item")
-        hits = hits.where((F.col("diagonal") < F.size("w")) & (F.col("diagonal") > -F.size("item")))
-    # A column that isn't deterministic keeps the verification out of the join's condition: it has no generated code,
-    # and there it would make the join copy a document's words for each of its windows rather than for each hit.
+        keyed = keyed.union(seeds(items.where(F.size("w") == n), ["item_id", "of_item"], (mask,)))
+    keyed = keyed.withColumnRenamed("i", "at")
+    most = max_broadcast // ROW_BYTES
+    if keyed.limit(most + 1).count() <= most:
+        keyed = F.broadcast(keyed)
+    found = seeds(d.select("doc_id", "of_doc", words(F.col("text")).alias("w")), ["doc_id", "of_doc"], (*masks, *short)).join(keyed, "h")
+    # The narrow hits come to one for each diagonal before any text is fetched.
+    found = found.select("doc_id", "of_doc", "item_id", "of_item", (F.col("i") - F.col("at")).alias("diagonal")).distinct()
+    f, t = found.alias("f"), items.withColumnRenamed("w", "item").alias("t")
+    hits = f.join(t, (F.col("f.of_item") == F.col("t.of_item")) & F.col("f.item_id").eqNullSafe(F.col("t.item_id"))).select("f.doc_id", "f.of_doc", "f.item_id", "f.diagonal", "t.item").alias("g")
+    hits = hits.join(d.alias("d"), (F.col("g.of_doc") == F.col("d.of_doc")) & F.col("g.doc_id").eqNullSafe(F.col("d.doc_id"))).select("g.doc_id", "g.item_id", "g.diagonal", "g.item", words(F.col("d.text")).alias("w"))
+    # A column that isn't deterministic keeps the verification out of the join's condition, which has no generated code.
     hits = hits.select("*", F.monotonically_increasing_id().alias("hit")).where("hit >= 0")
     v = hits.select("doc_id", "item_id", F.size("item").alias("m"), _verified(F.col("w"), F.col("item"), F.col("diagonal")).alias("v"))
     need = F.least(F.lit(min_match), F.col("m"))
