@@ -2,10 +2,11 @@
 
 Grammar of an output: ``(<s> role [INST] text [/INST] </s>)*``. The lexer knows
 the four control strings and nothing else, so the parser is deterministic. A
-role or text is first rendered as it is, lexed and parsed again, and compared
-with its source; where that differs, every control string in it (and every one
-that already looks escaped) gets one more ``~`` behind its first character, and
-the result is compared again. Parsing takes one ``~`` away.
+conversation is first rendered as it is and parsed again, and the recovered turns
+are compared with their source; where they differ, every control string in its
+roles and texts (and every one that already looks escaped) gets one more ``~``
+behind its first character, and the whole is parsed and compared again. Parsing
+takes one ``~`` away, so that round is identical; if it weren't, the job stops.
 """
 
 from __future__ import annotations
@@ -26,15 +27,21 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"<~(~*/?s>)", "<$1"), r"\[~(~*/?INST\])", "[$1")
 
 
-def _survives(rendered: Column, source: Column) -> Column:
-    """Whether a part lexes as one piece of text and parses to its source."""
-    return ~rendered.rlike(_LEXER) & (unescape(rendered) == source)
+def _rendered(turns: Column, put) -> Column:
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(BOS), put(t["role"]), F.lit(START), put(t["text"]), F.lit(END + EOS))), "")
 
 
-def _part(source: Column) -> Column:
-    """The part as it is if the round trip gives it back, else escaped; an escaped part that still differs stops the job."""
-    again = escape(source)
-    return F.when(_survives(source, source), source).when(_survives(again, source), again).otherwise(F.raise_error(F.lit("chat text has no faithful rendering")).cast("string"))
+def _parsed(df: DataFrame, text: str, turns: str) -> DataFrame:
+    """``df`` with the turns recovered from a text column: null where a string isn't of the grammar, empty for an empty one."""
+    source = F.col(text)
+    marks = F.regexp_replace(F.array_join(F.regexp_extract_all(source, F.lit(f"({_LEXER})")), " "), r"<s> \[INST\] \[/INST\] </s>( |$)", "")
+    split = df.withColumns({"marks left": marks, "pieces": F.split(source, _LEXER, -1)})
+    piece = lambda i: F.get("pieces", i)
+    blank = F.forall(F.sequence(F.lit(0), F.size("pieces") - 1), lambda i: ((i % 4) == 1) | ((i % 4) == 2) | (piece(i) == ""))
+    found = F.when(F.size("pieces") < 5, F.array().cast("array<struct<role:string,text:string>>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor(F.size("pieces") / 4) - 1), lambda i: F.struct(unescape(piece(i * 4 + 1)).alias("role"), unescape(piece(i * 4 + 2)).alias("text")))
+    )
+    return split.withColumn(turns, F.when((F.col("marks left") == "") & blank, found)).drop("marks left", "pieces")
 
 
 def format_conversations(df: DataFrame) -> DataFrame:
@@ -42,28 +49,26 @@ def format_conversations(df: DataFrame) -> DataFrame:
 
     Null texts and roles are empty; a null turn comes first; rows of one turn go
     by role, then text, and repeated rows are all kept. Rows without a conv_id
-    form one conversation. Texts are rendered before the shuffle, which moves
-    each row once.
+    form one conversation. A conversation of any length is one string, made in
+    one task: its digest is of the whole. Extra columns aren't read; an empty
+    table gives an empty one.
     """
-    turn = df.select("conv_id", F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turn = turn.select("conv_id", F.struct("turn", "role", "text", F.concat(F.lit(BOS), _part(F.col("role")), F.lit(START), _part(F.col("text")), F.lit(END + EOS)).alias("out")).alias("t"))
-    turn = turn.select("conv_id", F.struct(F.col("t.turn"), F.col("t.role"), F.col("t.text"), F.col("t.out")).alias("t"))
-    return turn.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("conv_id", F.array_join(F.col("t.out"), "").alias("formatted"))
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = df.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    whole = whole.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
+    plain = _parsed(whole.withColumn("plain", _rendered(F.col("source"), lambda part: part)), "plain", "recovered")
+    again = plain.select("conv_id", "source", F.when(F.col("recovered").eqNullSafe(F.col("source")), F.col("plain")).otherwise(_rendered(F.col("source"), escape)).alias("formatted"))
+    checked = _parsed(again, "formatted", "recovered")
+    failed = F.raise_error(F.lit("a conversation has no faithful rendering")).cast("string")
+    return checked.select("conv_id", F.when(F.col("recovered").eqNullSafe(F.col("source")), F.col("formatted")).otherwise(failed).alias("formatted"))
 
 
 def parse_conversations(df: DataFrame, formatted: str = "formatted") -> DataFrame:
     """``(conv_id, formatted, turns)`` with turns as array<struct<role, text>>, recovered from ``formatted`` alone.
 
-    ``turns`` is null where a string isn't of the grammar, and empty for an empty string.
+    ``turns`` is null where a string is null or not of the grammar, and empty for an empty string.
     """
-    text = F.col(formatted)
-    marks = F.regexp_replace(F.array_join(F.regexp_extract_all(text, F.lit(f"({_LEXER})")), " "), r"<s> \[INST\] \[/INST\] </s>( |$)", "")
-    split = df.select("conv_id", text.alias("formatted"), marks.alias("rest"), F.split(text, _LEXER, -1).alias("p"))
-    blank = F.forall(F.sequence(F.lit(0), F.size("p") - 1), lambda i: ((i % 4) == 1) | ((i % 4) == 2) | (F.get("p", i) == ""))
-    turns = F.when(F.size("p") < 5, F.array().cast("array<struct<role:string,text:string>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor(F.size("p") / 4) - 1), lambda i: F.struct(unescape(F.get("p", i * 4 + 1)).alias("role"), unescape(F.get("p", i * 4 + 2)).alias("text")))
-    )
-    return split.select("conv_id", "formatted", F.when((F.col("rest") == "") & blank, turns).alias("turns"))
+    return _parsed(df.select("conv_id", F.col(formatted).alias("formatted")), "formatted", "turns")
 
 
 def conversation_digests(df: DataFrame, trained_role: str = "assistant") -> DataFrame:
