@@ -7,6 +7,7 @@ higher priority, are dropped. Everything happens within the row: no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: Phrases with labels that are always reported.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
+#: Detections that are gathered at a time: appending to an array copies it.
+PART = 256
+
 #: What a word is, in text of either case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -45,10 +49,12 @@ mit-0 | attribution | mit no attribution(?: license)?
 x11 | license | (?:the )?x11 license
 expat | license | (?:the )?expat license
 isc | license | (?:the )?isc license
-bsd-2-clause | bsd | (?:the )?(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: simplified)? license
+bsd-2-clause | freebsd | (?:the )?freebsd license
+bsd-2-clause | bsd | (?:the )?(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: simplified)? license
 bsd-3-clause | bsd | (?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: new or revised)? license
 bsd-4-clause | bsd | (?:the )?(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: original or old)? license
-0bsd | bsd | (?:bsd zero clause|zero clause bsd|free public license 1 0 0)(?: license)?
+0bsd | bsd | (?:bsd zero clause|zero clause bsd)(?: license)?
+0bsd | public | free public license 1 0 0
 bsd | bsd | (?:the )?bsd(?: style)? licen[sc]e
 mpl-1.0 | mozilla | mozilla public license (?:version |v)?1 0
 mpl-1.1 | mozilla | mozilla public license (?:version |v)?1 1
@@ -131,11 +137,11 @@ cc-by-nc-nd-3.0 | cc | cc by nc nd 3 0
 cc-by-nc-nd-4.0 | cc | cc by nc nd 4 0
 cc-by-nc-nd | cc | cc by nc nd
 cc-by | creative | creative commons attribution(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
-cc-by-sa | creative | creative commons attribution share ?alike(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
-cc-by-nc | creative | creative commons attribution non ?commercial(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
-cc-by-nd | creative | creative commons attribution no ?deriv(?:ative)?s?(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
-cc-by-nc-sa | creative | creative commons attribution non ?commercial share ?alike(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
-cc-by-nc-nd | creative | creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
+cc-by-sa | creative | creative commons attribution share(?: )?alike(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
+cc-by-nc | creative | creative commons attribution non(?: )?commercial(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
+cc-by-nd | creative | creative commons attribution no(?: )?deriv(?:ative)?s?(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
+cc-by-nc-sa | creative | creative commons attribution non(?: )?commercial share(?: )?alike(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
+cc-by-nc-nd | creative | creative commons attribution non(?: )?commercial no(?: )?deriv(?:ative)?s?(?: (?:[0-9] [0-9]))?(?: international| unported| generic)?(?: public)?(?: license)?
 """
 
 #: label | keyword | confidence in per cent | regex over words: notices and texts that name no license, and sentences of license texts.
@@ -143,7 +149,6 @@ NOTICES = r"""
 cc-by | cc | 70 | cc by
 gpl | general | 60 | general public license
 reserved | reserved | 60 | all rights reserved
-reserved | reserved | 65 | alle rechte vorbehalten|tous droits réservés|todos los derechos reservados
 reserved | vorbehalten | 65 | alle rechte vorbehalten
 reserved | réservés | 65 | tous droits réservés
 reserved | reservados | 65 | todos los derechos reservados
@@ -166,6 +171,130 @@ bsd-2-clause | opensource | 90 | opensource org licenses bsd 2 clause
 bsd-3-clause | opensource | 90 | opensource org licenses bsd 3 clause
 isc | opensource | 90 | opensource org licenses isc
 unlicense | unencumbered | 90 | this is free and unencumbered software released into the public domain
+mit | notice | 85 | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | warranty | 80 | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+mit | liable | 80 | in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+mit | sublicense | 85 | without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software
+mit-0 | furnished | 60 | sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided
+x11 | advertising | 85 | shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization
+isc | warranties | 85 | the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+isc | liable | 85 | in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever
+hpnd | permission | 85 | permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted
+hpnd | publicity | 80 | not be used in advertising or publicity pertaining to distribution of the software without specific written prior permission
+0bsd | permission | 85 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided
+bsd | redistributions | 85 | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd | redistributions | 85 | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd | consequential | 80 | be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+bsd | disclaimed | 80 | implied warranties of merchantability and fitness for a particular purpose are disclaimed
+bsd-3-clause | contributors | 85 | neither the name of (?:[^ ]+ ){1,8}nor the names of its contributors may be used
+bsd-4-clause | acknowledgement | 90 | all advertising materials mentioning features or use of this software must display the following acknowledgement
+bsd-4-clause | contributors | 80 | this product includes software developed by (?:[^ ]+ ){1,8}and its contributors
+bsd-source-code | redistributions | 70 | redistributions of source code must retain the above copyright notice unmodified
+apache-1.0 | acknowledgment | 85 | redistributions of any form whatsoever must retain the following acknowledgment
+apache-1.1 | acknowledgment | 85 | the end user documentation included with the redistribution if any must include the following acknowledgment
+apache-2.0 | license | 90 | licensed under the apache license version 2 0 the license you may not use this file
+apache-2.0 | applicable | 85 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0 | governing | 80 | see the license for the specific language governing permissions and limitations under the license
+apache-2.0 | perpetual | 85 | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce
+apache-2.0 | prominent | 80 | you must cause any modified files to carry prominent notices stating that you changed the files
+apache-2.0 | litigation | 80 | if you institute patent litigation against any entity including a cross claim or counterclaim in a lawsuit
+gpl | foundation | 80 | under the terms of the gnu general public license as published by the free software foundation
+gpl-2.0-or-later | foundation | 90 | as published by the free software foundation either version 2 of the license or (?:at your option )?any later version
+gpl-3.0-or-later | foundation | 90 | as published by the free software foundation either version 3 of the license or (?:at your option )?any later version
+gpl-2.0 | foundation | 85 | as published by the free software foundation version 2(?: of the license)?
+gpl-3.0 | foundation | 85 | as published by the free software foundation version 3(?: of the license)?
+gpl | warranty | 70 | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
+gpl | received | 80 | you should have received a copy of the gnu general public license along with this program
+gpl | foundation | 70 | write to the free software foundation inc (?:59 temple place|51 franklin street|675 mass ave)
+gpl-2.0 | verbatim | 70 | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+gpl-2.0 | freedom | 80 | the licenses for most software are designed to take away your freedom to share and change it
+gpl-2.0 | derived | 60 | you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program
+gpl-2.0 | executable | 80 | you may copy and distribute the program or a work based on it under section 2 in object code or executable form
+gpl-3.0 | copyleft | 85 | the gnu general public license is a free copyleft license for software and other kinds of works
+gpl-3.0 | propagate | 80 | to propagate a work means to do anything with it that without permission would make you directly or secondarily liable
+gpl-3.0 | propagate | 80 | you may make run and propagate covered works that you do not convey without conditions
+gpl-3.0 | technological | 80 | no covered work shall be deemed part of an effective technological measure under any applicable law
+gpl-3.0 | corresponding | 75 | the corresponding source for a work in object code form means all the source code needed to generate install and run the object code
+lgpl | received | 80 | you should have received a copy of the gnu (?:lesser|library) general public license along with this library
+lgpl-2.1 | foundation | 85 | as published by the free software foundation either version 2 1 of the license or (?:at your option )?any later version
+lgpl-2.1 | lesser | 80 | this license the lesser general public license applies to some specially designated software packages
+lgpl-3.0 | convey | 80 | you may convey a combined work under terms of your choice that taken together effectively do not restrict modification
+agpl-3.0 | affero | 85 | the gnu affero general public license is a free copyleft license for software and other kinds of works
+agpl-3.0 | remotely | 90 | your modified version must prominently offer all users interacting with it remotely through a computer network
+agpl | received | 80 | you should have received a copy of the gnu affero general public license along with this program
+gfdl | permission | 85 | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+gfdl | invariant | 80 | with no invariant sections (?:with )?no front cover texts and no back cover texts
+mpl-1.1 | mozilla | 85 | the contents of this file are subject to the mozilla public license version 1 1
+mpl-2.0 | mpl | 85 | if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-2.0 | incompatible | 85 | this source code form is incompatible with secondary licenses as defined by the mozilla public license
+mpl-1.1 | rights | 70 | for the specific language governing rights and limitations under the license the original code is
+epl-1.0 | accompanying | 85 | the accompanying program is provided under the terms of this eclipse public license agreement
+epl-2.0 | accompanying | 85 | this program and the accompanying materials are made available under the terms of the eclipse public license (?:v(?: )?)?2 0
+epl-1.0 | accompanying | 85 | this program and the accompanying materials are made available under the terms of the eclipse public license (?:v(?: )?)?1 0
+cpl-1.0 | accompanying | 85 | the accompanying program is provided under the terms of this common public license agreement
+cddl | development | 80 | the contents of this file are subject to the terms of the common development and distribution license
+cddl | cddl | 75 | when distributing covered (?:code|software) include this cddl header notice in each file
+cddl-1.0 | initial | 70 | initial developer means the individual or entity that first makes original software available under this license
+eupl | eupl | 80 | licensed under the eupl(?: (?:version |v(?: )?)?1 [0-9])?
+osl-3.0 | open | 70 | licensed under the open software license version 3 0
+afl-3.0 | academic | 85 | licensed under the academic free license version 3 0
+artistic-1.0 | package | 80 | you may make and give away verbatim copies of the source form of the standard version of this package without restriction
+artistic-2.0 | permitted | 80 | you are permitted to use the standard version and create and use modified versions for any purpose without restriction
+artistic | perl | 75 | same terms as perl itself(?: (?:either )?the artistic license)?
+bsl-1.0 | permission | 90 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+bsl-1.0 | machine | 80 | unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor
+busl-1.1 | production | 85 | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work
+busl-1.1 | anniversary | 80 | effective on the change date or the fourth anniversary of the first publicly available distribution
+sspl-1.0 | functionality | 85 | if you make the functionality of the program or a modified version available to third parties as a service
+elastic-2.0 | hosted | 85 | you may not provide the software to third parties as a hosted or managed service
+unlicense | dedication | 90 | we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors
+unlicense | publish | 85 | anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl | fuck | 85 | you just do what the fuck you want to
+zlib | misrepresented | 90 | the origin of this software must not be misrepresented you must not claim that you wrote the original software
+zlib | altered | 85 | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+libpng | supplied | 80 | the png reference library is supplied as is
+openssl | openssl | 85 | this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay | ssl | 80 | this package is an ssl implementation written by eric young
+python-2.0 | psf | 85 | psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test
+php-3.01 | php | 85 | this product includes php software freely available from
+postgresql | permission | 80 | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+curl | permission | 60 | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+ncsa | restriction | 80 | to deal with the software without restriction including without limitation the rights to use copy modify merge publish
+ms-pl | patent | 60 | if you bring a patent claim against any contributor over patents that you claim are infringed by the software
+ofl-1.1 | font | 85 | this font software is licensed under the sil open font license
+ofl-1.1 | reserved | 85 | no modified version of the font software may use the reserved font name
+upl-1.0 | licensor | 85 | under any and all copyright rights in the software and any and all patent rights owned or freely licensable by each licensor
+cc0-1.0 | waives | 85 | affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders
+cc0-1.0 | neighboring | 80 | (?:has )?(?:waived|dedicated) all copyright and related (?:or|and) neighboring rights to this work
+cc-by-sa | creative | 60 | text is available under the creative commons attribution share(?: )?alike license
+cc-by | redistribute | 70 | you are free to share copy and redistribute the material in any medium or format
+cc-by | license | 70 | you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by-sa | remix | 80 | if you remix transform or build upon the material you must distribute your contributions under the same license as the original
+cc-by-nc | commercial | 70 | you may not use the material for commercial purposes
+cc-by-nd | remix | 80 | if you remix transform or build upon the material you may not distribute the modified material
+odbl-1.0 | database | 75 | any rights in individual contents of the database are licensed under the database contents license
+odc-by-1.0 | database | 70 | the licensor grants to you a worldwide royalty free non exclusive license to use the database
+ogl-uk-3.0 | sector | 85 | contains public sector information licensed under the open government licen[sc]e
+etalab-2.0 | ouverte | 80 | sous licence ouverte(?: open licence)?(?: version 2 0)?
+cecill | cecill | 80 | ce logiciel est régi par la licence cecill
+public-domain | domain | 75 | no copyright (?:is )?(?:claimed|asserted) (?:[^ ]+ ){0,6}public domain
+public-domain | domain | 70 | this (?:work|file|software|code) is (?:hereby )?(?:released |dedicated )?(?:in|into|to) the public domain
+public-domain | government | 60 | (?:work|works) of the (?:united states|u s) government (?:and )?(?:is|are) not subject to copyright
+beerware | beer | 85 | you can buy me a beer in return
+json | evil | 80 | the software shall be used for good not evil
+commons-clause | sell | 85 | the grant of rights under the license will not include and the license does not grant to you the right to sell the software
+proprietary | confidential | 75 | this (?:document|file|software|material) contains (?:[^ ]+ ){0,4}confidential (?:and proprietary )?information
+proprietary | reproduced | 70 | no part of this (?:publication|book|work|document) may be reproduced
+proprietary | agree | 60 | by (?:installing|downloading|using) (?:this|the) software you agree to (?:be bound by )?(?:the|these) terms
+proprietary | permission | 60 | (?:reprinted|reproduced|used) (?:with|by) (?:kind )?permission of
+reserved | rights | 65 | some rights reserved
+reserved | reservados | 65 | reservados todos los derechos
+reserved | derechos | 55 | derechos reservados
+reserved | urheberrechtlich | 65 | urheberrechtlich geschützt
+cc-by | namensnennung | 70 | creative commons (?:lizenz )?namensnennung
+cc-by-sa | bedingungen | 75 | namensnennung weitergabe unter gleichen bedingungen
+cc-by-nc | commerciale | 75 | attribution pas d utilisation commerciale
+cc-by | creative | 70 | (?:licencia )?creative commons (?:reconocimiento|atribución)
 public-domain | domain | 70 | (?:released|dedicated|placed|is) (?:in|into|to) the public domain
 zlib | implied | 80 | this software is provided as is without any express or implied warranty
 cc-by | creativecommons | 90 | creativecommons org licenses by(?: [0-9] [0-9])?
@@ -203,7 +332,7 @@ def spaced(regex: str) -> str:
 
 
 #: One of these occurs wherever a keyword does; a word of three letters or less needs its borders too.
-HINTS = tuple("licen reserv permission redistribut endorse compliance domain warranty vorbehalten copyright confidential unauthorized attribution clause spdx gnu opensource unencumbered creative réserv mozilla cc mulan cecill source".split())
+HINTS = tuple("licen reserv permission redistribut endorse compliance domain warrant vorbehalten réserv copyright confidential unauthorized attribution clause spdx gnu opensource unencumbered creative mozilla cc mulan cecill source software geschützt perl anniversary functionality executable technological convey bedingungen beer cddl propagate commercial consequential contributors dedication derived fuck invariant liable litigation mpl permitted prominent remix remotely reproduced ssl supplied waives".split())
 _CC = r"(?:^|[^a-z0-9])cc(?:0|[^a-z0-9])"
 
 
@@ -229,6 +358,17 @@ def _words_in(part: Column) -> Column:
     return F.floor((F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parts(items: Column) -> Column:
+    """An array in parts of PART items."""
+    count = lambda x: F.greatest(F.ceil(F.size(x) / PART) - 1, F.lit(0))
+    return _let(items, lambda x: F.transform(F.sequence(F.lit(0), count(x)), lambda k: F.slice(x, (k * PART + 1).cast("int"), F.lit(PART))))
+
+
 def _spans(t: Column) -> Column:
     """Detections of all rules whose keyword occurs, in order of start, longest and strongest first."""
     by_key: dict[str, list[dict]] = {}
@@ -246,7 +386,12 @@ def _spans(t: Column) -> Column:
             (s["at"] + _words_in(x["g"]) + _words_in(x["m"])).alias("at"),
             F.concat(s["out"], F.array(F.struct((s["at"] + _words_in(x["g"])).alias("start"), (s["at"] + _words_in(x["g"]) + _words_in(x["m"])).alias("end")))).alias("out"),
         )
-        places = F.aggregate(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), zero, step)["out"]
+        pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
+        # Places within a part first, then those of the parts: an array that grows is at most a part long.
+        nested = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<start:bigint,end:bigint>>>").alias("out"))
+        shift = lambda s, part: F.transform(part["out"], lambda p: F.struct((s["at"] + p["start"]).alias("start"), (s["at"] + p["end"]).alias("end")))
+        join = lambda s, part: F.struct((s["at"] + part["at"]).alias("at"), F.concat(s["out"], F.array(shift(s, part))).alias("out"))
+        places = F.flatten(F.aggregate(F.transform(_parts(pairs), lambda part: F.aggregate(part, zero, step)), nested, join)["out"])
         return F.transform(places, lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("neg_end"), (-r["priority"]).alias("neg_priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence")))
 
     return F.array_sort(F.flatten(F.transform(F.flatten(F.transform(keys, lambda k: F.element_at(table, k))), of)))
@@ -256,8 +401,8 @@ _SPAN = "struct<start:bigint,neg_end:bigint,neg_priority:int,rule:int,label:stri
 
 
 def _kept(spans: Column) -> Column:
-    """One sweep: a span inside the one before goes; of two that overlap, the one of lower priority goes (the later one on a tie)."""
-    zero = F.struct(F.array().cast(f"array<{_SPAN}>").alias("done"), F.lit(None).cast(_SPAN).alias("cur"))
+    """One sweep in order of start, longest first: a span inside the one that stands there goes; of two that overlap, the one of lower priority goes (the later one on a tie)."""
+    none = F.lit(None).cast(_SPAN)
 
     def step(s: Column, x: Column) -> Column:
         cur = s["cur"]
@@ -265,7 +410,12 @@ def _kept(spans: Column) -> Column:
         takes = ~apart & (x["neg_end"] < cur["neg_end"]) & (x["neg_priority"] < cur["neg_priority"])
         return F.struct(F.when(apart & cur.isNotNull(), F.concat(s["done"], F.array(cur))).otherwise(s["done"]).alias("done"), F.when(apart | takes, x).otherwise(cur).alias("cur"))
 
-    return F.aggregate(spans, zero, step, lambda s: F.when(s["cur"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))))
+    def part(s: Column, spans: Column) -> Column:
+        within = F.aggregate(spans, F.struct(F.array().cast(f"array<{_SPAN}>").alias("done"), s["cur"].alias("cur")), step)
+        return F.struct(F.concat(s["done"], F.array(within["done"])).alias("done"), within["cur"].alias("cur"))
+
+    zero = F.struct(F.array().cast(f"array<array<{_SPAN}>>").alias("done"), none.alias("cur"))
+    return F.aggregate(_parts(spans), zero, part, lambda s: F.concat(F.flatten(s["done"]), F.when(s["cur"].isNull(), F.array().cast(f"array<{_SPAN}>")).otherwise(F.array(s["cur"]))))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
