@@ -12,7 +12,10 @@ from hushlake.functions.normalize import View, strip_marks
 BLOCKED = frozenset(x.lower() for x in ("Amelia", "Factorial", "Leon", "Captain", "Full", "Stack", "Developer", "Director", "Crew", "Planning", "Bonjour", "Cordialement"))
 TITLES = ("M.", "Mme", "Mlle", "Dr", "Pr", "Me", "Capitaine", "Commandant", "Lieutenant", "Colonel", "Général", "Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Dr.", "Prof", "Prof.", "Captain", "Cpt", "Lt")
 SIGN_OFF = regex.compile(r"(?im)(?:best\s+regards|regards|brgds|brds|cordialement|cdlt|bien\s+[àa]\s+vous|sincerely|cheers|merci|thanks)[,.]?\s*\n?\s*([A-Z\p{Lu}][\p{L}'-]+)")
-CONTEXT = ("name", "nom", "prénom", "prenom", "contact", "passenger", "passager", "pilot", "pilote", "crew", "from", "to", "de", "signed", "signé", "author", "auteur", "employee", "employé", "client", "customer", "patient", "attn", "dear", "cher", "chère", "bonjour", "hello", "hi", "regards", "cordialement")
+CONTEXT = (
+    "passenger", "passager", "passagère", "name", "nom", "pilot", "pilote", "captain", "capitaine", "commandant", "crew", "équipage", "equipage", "copilot", "copilote", "member", "membre",
+    "contact", "person", "personne", "client", "patient", "employee", "employé", "employée", "salarié", "user", "utilisateur", "utilisatrice", "author", "auteur",
+)
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD = regex.compile(r"\S+")
 
@@ -25,10 +28,12 @@ class NameLists:
     last: frozenset[str] = field(default=frozenset())
 
 
+_TITLE_CASE, _CAPITALS = regex.compile(r"\p{Lu}(?:\p{Ll}|[-']\p{Lu})*"), regex.compile(r"(?:[-']*\p{Lu}){2,}[-']*")
+
+
 def name_like(word: str) -> bool:
-    """Title case (also after a hyphen or an apostrophe), or capitals only."""
-    parts = [p for p in regex.split(r"[-']", word) if p]
-    return bool(parts) and all(p.isalpha() for p in parts) and (word.isupper() and len(word) >= 2 or all(p[0].isupper() and p[1:] == p[1:].lower() for p in parts))
+    """Title case, a capital after each hyphen or apostrophe and none of them last; or two capitals or more and nothing else. One ASCII letter is no name."""
+    return len(word.encode()) >= 2 and bool(_TITLE_CASE.fullmatch(word) or _CAPITALS.fullmatch(word))
 
 
 def extend(text: str, start: int, end: int, crew: frozenset[str], most: int = 2) -> int:

@@ -110,29 +110,57 @@ def apply_spans(df: DataFrame, text_col: str, spans_col: str, operators: dict[st
     return out.withColumn("status", status).withColumn("result", F.when(F.col("status") == "ok", splice(F.col(text_col), F.col("ordered spans"), per_entity(operators))).otherwise(F.col(text_col))).drop("ordered spans")
 
 
-def token_of(session: str, entity_type: Column, original: Column, attempt: Column) -> Column:
+def token_of(session: str, entity_type: Column, original: Column, attempt: Column, digits: int = 8) -> Column:
     """``[TYPE_hhhhhhhh]`` from a keyed digest: the same in every task and retry."""
-    return F.concat(F.lit("["), entity_type, F.lit("_"), F.substring(F.sha2(F.concat_ws("\u0001", F.lit(session), entity_type, original, attempt.cast("string")), 256), 1, 8), F.lit("]"))
+    return F.concat(F.lit("["), entity_type, F.lit("_"), F.substring(F.sha2(F.concat_ws("\u0001", F.lit(session), entity_type, original, attempt.cast("string")), 256), 1, digits), F.lit("]"))
 
 
-def mapping(detected: DataFrame, session: str) -> DataFrame:
+def mapping(detected: DataFrame, session: str, digits: int = 8) -> DataFrame:
     """``(session_id, token, entity_type, original)`` of distinct values (entity_type, original).
 
     Values whose tokens collide are hashed again with their rank among them, a
     shuffle on the token only; collisions of the second round are a matter of
-    2**-32 of 2**-32 and stop the job.
+    2**-32 of 2**-32 and stop the job. Texts get their tokens from this table
+    (``tokenized``), never from a digest of their own.
     """
     values = detected.select("entity_type", "original").distinct()
-    first = values.withColumn("token", token_of(session, F.col("entity_type"), F.col("original"), F.lit(0)))
+    of = lambda attempt: token_of(session, F.col("entity_type"), F.col("original"), attempt, digits)
     rank = F.row_number().over(Window.partitionBy("token").orderBy("entity_type", "original")) - 1
-    again = first.withColumn("attempt", rank).withColumn("token", F.when(F.col("attempt") > 0, token_of(session, F.col("entity_type"), F.col("original"), F.col("attempt"))).otherwise(F.col("token")))
+    again = values.withColumn("token", of(F.lit(0))).withColumn("attempt", rank).withColumn("token", F.when(F.col("attempt") > 0, of(F.col("attempt"))).otherwise(F.col("token")))
     once = F.count("*").over(Window.partitionBy("token"))
     return again.withColumn("times", once).select(F.lit(session).alias("session_id"), F.when(F.col("times") == 1, F.col("token")).otherwise(F.raise_error(F.lit("token collision")).cast("string")).alias("token"), "entity_type", "original")
 
 
+def tokenized(df: DataFrame, spans_col: str, table: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``(key, text)`` with each span replaced by the token that the mapping has for its value; a value that it hasn't stops the job.
+
+    A row's distinct values go to the mapping by an equi-join and come back by
+    the row's key, which must be unique; the texts move once.
+    """
+    value = F.struct("entity_type", "original")
+    asked = df.select(key, F.explode(F.array_distinct(F.transform(spans_col, lambda x: F.struct(x["entity_type"].alias("entity_type"), x["original"].alias("original"))))).alias("v")).select(key, "v.*")
+    given = asked.join(table.select("entity_type", "original", "token"), ["entity_type", "original"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(value.alias("k"), "token"))).alias("tokens"))
+    missing = F.raise_error(F.lit("a value without a token")).cast("string")
+    put = lambda x: F.coalesce(F.element_at("tokens", F.struct(x["entity_type"].alias("entity_type"), x["original"].alias("original"))), missing)
+    with_tokens = df.select(key, F.col(text_col).alias("text"), F.col(spans_col).alias("found")).join(given, key, "left")
+    return with_tokens.select(key, F.when(F.col("tokens").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("found"), put)).alias("text"))
+
+
+#: Parts that a session's entries are ranked in before its newest are chosen.
+EVICT_PARTS = 64
+
+
 def evict(table: DataFrame, most: int, order: str = "first_seen") -> DataFrame:
-    """The ``most`` newest entries of each session."""
-    return table.withColumn("age", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc(order), F.desc("token")))).where(F.col("age") <= most).drop("age")
+    """The ``most`` newest entries of each session. Each part of a session is cut to so many first, so no task sorts a whole session."""
+    newest = [F.desc(order), F.desc("token")]
+    parted = table.withColumn("part", F.pmod(F.hash("token"), F.lit(EVICT_PARTS)))
+    few = parted.withColumn("age", F.row_number().over(Window.partitionBy("session_id", "part").orderBy(*newest))).where(F.col("age") <= most)
+    return few.withColumn("age", F.row_number().over(Window.partitionBy("session_id").orderBy(*newest))).where(F.col("age") <= most).drop("age", "part")
+
+
+def evicted_count(table: DataFrame, most: int) -> DataFrame:
+    """``(session_id, entries, evicted)``: how many entries of each session a mapping of ``most`` has dropped."""
+    return table.groupBy("session_id").agg(F.count("*").alias("entries")).withColumn("evicted", F.greatest(F.col("entries") - most, F.lit(0).cast("long")))
 
 
 def integrity(table: DataFrame) -> DataFrame:
@@ -144,15 +172,28 @@ def integrity(table: DataFrame) -> DataFrame:
 TOKEN = r"\[[A-Z][A-Z0-9_]*_[0-9a-f]{8}\]"
 
 
-def restore(df: DataFrame, table: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``(key, restored)``: known tokens as their originals, others as they are; restored text isn't read again.
+#: A token without its brackets, with no letter or digit beside it.
+BARE = r"(?<![0-9A-Za-z])[A-Z][A-Z0-9_]*_[0-9a-f]{8}(?![0-9A-Za-z])"
+
+
+def restore(df: DataFrame, table: DataFrame, key: str, text_col: str = "text", bare: bool = False) -> DataFrame:
+    """``(key, restored)``: known tokens as their originals, others as they are.
 
     Each row's tokens go to the mapping by an equi-join on the token and come
-    back by the row's key, so the mapping is never on one machine.
+    back by the row's key, so the mapping is never on one machine. Restored text
+    isn't read again, but with ``bare``, where tokens without brackets are
+    restored in a second pass.
     """
-    cut = df.select(key, F.col(text_col).alias("t"), F.regexp_extract_all(text_col, F.lit(f"({TOKEN})")).alias("found"))
-    known = cut.select(key, F.explode(F.array_distinct("found")).alias("token")).join(table.select("token", "original"), "token")
-    known = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("known"))
-    gaps = F.split(F.col("t"), TOKEN, -1)
+    done = _restored(df, table.select("token", "original"), key, text_col, TOKEN)
+    if not bare:
+        return done
+    return _restored(done, table.select(F.regexp_replace("token", r"[\[\]]", "").alias("token"), "original"), key, "restored", BARE)
+
+
+def _restored(df: DataFrame, table: DataFrame, key: str, text_col: str, pattern: str) -> DataFrame:
+    cut = df.select(key, F.col(text_col).alias("t"), F.regexp_extract_all(text_col, F.lit(f"({pattern})")).alias("found"))
+    known = cut.select(key, F.explode(F.array_distinct("found")).alias("token")).join(table.select("token", F.col("original").alias("value of it")), "token")
+    known = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "value of it"))).alias("known"))
+    gaps = F.split(F.col("t"), pattern, -1)
     put = F.transform(F.arrays_zip(gaps.alias("g"), F.col("found").alias("f")), lambda x: F.concat(x["g"], F.coalesce(F.element_at("known", x["f"]), x["f"], F.lit(""))))
     return cut.join(known, key, "left").select(key, F.when(F.col("known").isNull(), F.col("t")).otherwise(F.array_join(put, "")).alias("restored"))

@@ -213,7 +213,9 @@ def detections(df: DataFrame, text_col: str = "text", settings: Settings | None
 
 
 def exploded(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.inline("spans"))
+    """A row for each span. A text that was too large to scan stops the job, as it would come out as one without any."""
+    refused = F.raise_error(F.lit("a text of more than 50 MiB can't be scanned")).cast(SPANS)
+    return df.select(*keep, F.inline(F.when(F.col("status") == "ok", F.col("spans")).otherwise(refused)))
 
 
 __all__ = ["SPANS", "Settings", "Span", "as_rows", "detect", "detections", "exploded", "replace", "resolve", "spans"]

@@ -44,10 +44,29 @@ def walk_json(value, put: Put, depth: int = 0):
     return value
 
 
+def _number(digits: str) -> float:
+    value = float(digits)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError("a number out of range")
+    return value
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def parsed(text: str):
+    """The JSON value of a text; a ValueError for all that is none: also NaN, numbers out of range, and what is too deep to read."""
+    try:
+        return json.loads(text, parse_float=_number, parse_constant=_no_number)
+    except RecursionError as e:
+        raise ValueError("too deep") from e
+
+
 def json_text(text: str, put: Put) -> tuple[str, str]:
     """Rewritten document, keys sorted, with its own indentation and a newline at the end; and ok or malformed."""
     try:
-        value = json.loads(text)
+        value = parsed(text)
     except ValueError:
         return text, "malformed"
     indent = next((len(m[1]) for m in re.finditer(r"(?m)^( {1,8})\S", text)), 2)
@@ -135,7 +154,7 @@ def sniff(text: str) -> str:
     """json, sql, csv or text."""
     if text.lstrip()[:1] in ("{", "["):
         try:
-            json.loads(text)
+            parsed(text)
             return "json"
         except ValueError:
             pass

@@ -152,10 +152,10 @@ def op_per_entity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = _table(spark, d, "documents")
-    table = native.mapping(_spark_spans(docs, "email"), SESSION)
-    put = lambda x: native.token_of(SESSION, x["entity_type"], x["original"], F.lit(0))
-    return docs.select("doc_id", native.splice(F.col("text"), native.spans(F.col("text"), *SHAPES["email"]), put).alias("text")), table
+    """Texts with tokens from the mapping, and the mapping."""
+    docs = _table(spark, d, "documents").select("doc_id", "text", native.spans(F.col("text"), *SHAPES["email"]).alias("spans"))
+    table = native.mapping(docs.select(F.inline("spans")), SESSION)
+    return native.tokenized(docs, "spans", table, "doc_id"), table
 
 
 _TOKEN_SQL = "'[EMAIL_ADDRESS_' || substr(sha256('" + SESSION + "' || chr(1) || 'EMAIL_ADDRESS' || chr(1) || {x} || chr(1) || '0'), 1, 8) || ']'"
@@ -183,14 +183,31 @@ def restore_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return native.restore(texts, table, "doc_id")
 
 
-@register("restore_unknown_tokens", "SELECT doc_id, '[x [EMAIL_ADDRESS_00000000]] ' || left(text, 20) AS restored FROM documents")
+@register("restore_unknown_tokens", "SELECT doc_id, '[x [EMAIL_ADDRESS_00000000]] ' || text AS restored FROM documents")
 def restore_unknown_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Whole texts behind a token that the mapping hasn't. The SQL still has their first 20 characters only."""
+    """Whole texts behind a token that the mapping hasn't."""
     texts, table = _tokens(spark, d)
     odd = _table(spark, d, "documents").select("doc_id", F.concat(F.lit("[x [EMAIL_ADDRESS_00000000]] "), F.col("text")).alias("text"))
     return native.restore(odd, table, "doc_id")
 
 
+_BARE_SQL = f"regexp_replace({_TOKEN_SQL.replace('{x}', 'original')}, '[][]', '', 'g')"
+
+
+@register("restore_bare", f"SELECT original, 'see ' || original || ', x' || b || ' ' || original || ' ' || b || '0' AS restored FROM (SELECT DISTINCT original, {_BARE_SQL} AS b FROM ({_sql_spans('email')}))")
+def restore_bare(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens with and without brackets, and two that touch a letter or a digit."""
+    table = mapping_table(spark, d)
+    b = F.regexp_replace("token", r"[\[\]]", "")
+    rows = table.select("original", F.concat(F.lit("see "), b, F.lit(", x"), b, F.lit(" "), F.col("token"), F.lit(" "), b, F.lit("0")).alias("text"))
+    return native.restore(rows, table, "original", bare=True)
+
+
+@register("mapping_evicted_count", f"SELECT '{SESSION}' AS session_id, count(DISTINCT original) AS entries, greatest(count(DISTINCT original) - 5, 0) AS evicted FROM ({_sql_spans('email')}) HAVING count(*) > 0")
+def mapping_evicted_count(spark: SparkSession, d: str) -> DataFrame:
+    return native.evicted_count(mapping_table(spark, d), 5)
+
+
 def _number(n: int, key: str = "o_orderkey") -> tuple[Callable[[], Column], str]:
     """Zero-padded n-digit strings spread by a multiplication, alike in both engines."""
     sql = f"lpad(CAST(({key} * 7919000 + {key} * {key} * 31 + 104729) % {10**n} AS VARCHAR), {n}, '0')"

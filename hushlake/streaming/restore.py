@@ -11,20 +11,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushlake.operators.scan import importable
 
+#: Characters of an open bracket that are kept back, or more if the mapping has a longer token.
 LONGEST = 64
 _TOKEN = re.compile(r"\[[^\[\]]*\]")
 
 
 class Restorer:
-    """Feeds on chunks of one stream; keeps an open bracket of up to LONGEST characters back until it closes."""
+    """Feeds on chunks of one stream; keeps an open bracket back until it closes, as far as a token of the mapping may reach."""
 
     def __init__(self, known: dict[str, str], pending: str = "") -> None:
         self.known, self.pending = known, pending
+        self.longest = max([LONGEST, *map(len, known)])
 
     def feed(self, chunk: str) -> str:
         text = self.pending + chunk
         at = text.rfind("[")
-        keep = at >= 0 and "]" not in text[at:] and len(text) - at < LONGEST
+        keep = at >= 0 and "]" not in text[at:] and len(text) - at < self.longest
         self.pending = text[at:] if keep else ""
         return _TOKEN.sub(lambda m: self.known.get(m[0], m[0]), text[:at] if keep else text)
 
@@ -36,7 +38,7 @@ class Restorer:
 def restore_stream(chunks: DataFrame, known: dict[str, str]) -> DataFrame:
     """``(stream_id, seq, text)`` for a streaming frame (stream_id, seq, chunk, last).
 
-    The state of a stream is its open bracket, 64 characters at most. Chunks of a
+    The state of a stream is its open bracket, no longer than the longest token. Chunks of a
     stream that arrive together go by seq; the mapping is the session's, at most
     10,000 entries. A chunk marked ``last`` flushes and drops the state.
     """
