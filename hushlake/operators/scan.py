@@ -79,33 +79,75 @@ _BUILT_IN = frozenset((r.name, r.pattern) for r in built_in())
 _DIGIT = regex.compile(r"\d")
 
 
-def possible(use: list[Recogniser], text: str) -> list[Recogniser]:
+_ALWAYS, _DIGITS, _MARKED_DIGITS, _ASSIGNED = range(4)
+_LONG_RUN, _THREE_CAPITALS = regex.compile(r"[0-9A-Za-z]{16}"), regex.compile(r"[A-Z]{3}")
+#: What a text needs, beside a digit or a string, for any match of these patterns; each is tried once for a text.
+_NEEDS: dict[str, Callable[[str, str], bool]] = {
+    "colons": lambda text, low: "::" in text or text.count(":") >= 7,
+    "pairs": lambda text, low: text.count(":") >= 5 or text.count("-") >= 5,
+    "dots": lambda text, low: text.count(".") >= 2,
+    "hyphens": lambda text, low: text.count("-") >= 4,
+    "run": lambda text, low: _LONG_RUN.search(text) is not None,
+    "capitals": lambda text, low: _THREE_CAPITALS.search(text) is not None,
+    "extension": lambda text, low: "poste" in low or "ext" in low,
+}
+_NEED_OF = {"ipv6": "colons", "mac_colon": "pairs", "mac_hyphen": "pairs", "mac_cisco": "dots", "uuid": "hyphens", "crypto_bitcoin": "run", "crypto_ethereum": "run", "it_fiscal_code": "run", "crew_code": "capitals", "aircraft_eu": "capitals", "phone_extension": "extension"}
+
+
+class Gated:
+    """Recognisers with what each needs of a text to hit at all."""
+
+    def __init__(self, use: list[Recogniser]) -> None:
+        self.use, self.gates = use, []
+        for r in use:
+            kind, held, need = _ALWAYS, "", None
+            if (r.name, r.pattern) in _BUILT_IN:
+                need = _NEED_OF.get(r.name)
+                if r.name == "assignment":
+                    kind = _ASSIGNED
+                elif r.name in _WITHOUT_DIGIT:
+                    held = _WITHOUT_DIGIT[r.name]
+                else:
+                    kind = _MARKED_DIGITS if r.name in ("github_token", "github_fine_grained", "aws_access_key", "stripe_key") else _DIGITS
+            self.gates.append((r, frozenset(r.keywords) if r.required else frozenset(), kind, held, need))
+        self.keywords = sorted({k for _, keys, *_ in self.gates for k in keys})
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """What a settings' recognisers come to, made once."""
+
+    whole: Gated
+    over_lines: Gated
+    in_urls: Gated
+
+
+_plans: dict[int, tuple[Settings, _Plan]] = {}
+
+
+def _plan(s: Settings) -> _Plan:
+    if id(s) not in _plans or _plans[id(s)][0] is not s:
+        use = prune(list(s.recognisers), s.threshold, s.boost)
+        if len(_plans) > 64:
+            _plans.clear()
+        _plans[id(s)] = s, _Plan(Gated(use), Gated([r for r in use if r.entity_type in _MULTILINE]), Gated([r for r in use if r.entity_type != "URL"]))
+    return _plans[id(s)][1]
+
+
+def possible(use: Gated, text: str) -> list[Recogniser]:
     """Those that may hit: a gating keyword somewhere, and a character or string that every match needs."""
-    low, digit, out = text.lower(), _DIGIT.search(text) is not None, []
-    for r in use:
-        if r.required and r.keywords and not any(k in low for k in r.keywords):
-            continue
-        if (r.name, r.pattern) in _BUILT_IN:
-            if r.name == "assignment":
-                if not any(w in low for w in _SECRET_WORDS):
-                    continue
-            elif r.name in _WITHOUT_DIGIT:
-                if _WITHOUT_DIGIT[r.name] not in text:
-                    continue
-            elif not digit and r.name not in ("github_token", "github_fine_grained", "aws_access_key", "stripe_key"):
-                continue
-            elif not digit and not any(x in text for x in ("gh", "AKIA", "ASIA", "k_")):
-                continue
-        out.append(r)
-    return out
+    low, digit = text.lower(), _DIGIT.search(text) is not None
+    present = {k for k in use.keywords if k in low}
+    allowed = {_ALWAYS: True, _DIGITS: digit, _MARKED_DIGITS: digit or any(x in text for x in ("gh", "AKIA", "ASIA", "k_")), _ASSIGNED: any(w in low for w in _SECRET_WORDS)}
+    met = {None: True} | {name: f(text, low) for name, f in _NEEDS.items()}
+    return [r for r, keys, kind, held, need in use.gates if allowed[kind] and met[need] and (not keys or not keys.isdisjoint(present)) and held in text]
 
 
-def _hits(view: View, about: str, use: list[Recogniser], s: Settings) -> Iterator[tuple[Recogniser, int, int, float]]:
+def _hits(view: View, about: str, use: Gated, s: Settings) -> Iterator[tuple[Recogniser, int, int, float]]:
     """Pattern hits that pass context, value and threshold, in the view's places."""
     text = view.text
-    if about is text:  # else keywords are looked for in another text than the one that is scanned
-        use = possible(use, text)
-    for r in use:
+    # Where the text isn't what keywords are looked for in, nothing is ruled out by it.
+    for r in possible(use, text) if about is text else use.use:
         for m in _pattern(r).finditer(text):
             a, b = m.span()
             if a == b:
@@ -136,13 +178,13 @@ def resolve(spans: list[Span]) -> list[Span]:
 
 def detect(text: str, s: Settings, people: Callable[[str], list[tuple[int, int, float]]] | None = None) -> list[Span]:
     """Spans of a text in characters. Inner hits of URLs come last and are only reported."""
-    use = prune(list(s.recognisers), s.threshold, s.boost)
+    plan = _plan(s)
     view = normalized(text)
     digit = lambda i: 0 <= i < len(view.text) and "0" <= view.text[i] <= "9"
-    found = [Span(r.entity_type, *view.source(a, b), score) for r, a, b, score in _hits(view, view.text, use, s) if r.entity_type != "FR_SSN" or not (digit(a - 1) or digit(b))]
+    found = [Span(r.entity_type, *view.source(a, b), score) for r, a, b, score in _hits(view, view.text, plan.whole, s) if r.entity_type != "FR_SSN" or not (digit(a - 1) or digit(b))]
     flat = View(view.text).one_line()
     if flat is not None:
-        for r, a, b, score in _hits(flat, flat.text, [r for r in use if r.entity_type in _MULTILINE], s):
+        for r, a, b, score in _hits(flat, flat.text, plan.over_lines, s):
             x, y = flat.source(a, b)
             if "\n" in view.text[x:y]:
                 found.append(Span(r.entity_type, *view.source(x, y), score))
@@ -160,10 +202,10 @@ def detect(text: str, s: Settings, people: Callable[[str], list[tuple[int, int,
     others = [x for x in found if x.entity_type != "PASSWORD"]
     found = [x for x in found if x.entity_type != "PASSWORD" or not any(x.start <= o.start and o.end <= x.end for o in others)]
     kept = resolve(found)
-    return kept + _within_urls(text, kept, [r for r in use if r.entity_type != "URL"], s)
+    return kept + _within_urls(text, kept, plan.in_urls, s)
 
 
-def _within_urls(text: str, kept: list[Span], use: list[Recogniser], s: Settings) -> list[Span]:
+def _within_urls(text: str, kept: list[Span], use: Gated, s: Settings) -> list[Span]:
     inner = []
     for u in (x for x in kept if x.entity_type == "URL"):
         url, here = text[u.start : u.end], []
