@@ -39,11 +39,19 @@ def _stage(work: Stage) -> Stage:
     return call
 
 
+#: Characters of a text by which rows of one id are dealt to partitions: the bounds of partitions are chosen on the driver, from a sample of these keys.
+KEY = 64
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row in the order of the ids, null last; rows of one id are in the order of their other columns."""
-    first = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    """``docs`` with a number for each row in the order of the ids, null last; rows of one id are in the order of their texts, then of their other columns.
+
+    Partitions are ranges of the id and the start of the text, and are sorted by
+    all of the row, which is the same order.
+    """
+    by_id = F.col("doc_id").asc_nulls_last()
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.orderBy(*first, *rest).withColumn(ROW, F.monotonically_increasing_id())
+    return docs.repartitionByRange(by_id, F.substring("text", 1, KEY)).sortWithinPartitions(by_id, F.col("text"), *rest).withColumn(ROW, F.monotonically_increasing_id())
 
 
 def numbered(docs: DataFrame) -> DataFrame:
