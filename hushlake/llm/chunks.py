@@ -15,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from hushlake.llm.common import importable
+from hushlake.llm.common import importable, scratch, stored
 
 #: A cut's hash is the least of so many on either side. Between two cuts without any (constant runs) a chunk ends after LONGEST bytes.
 REACH, LONGEST = 24, 2048
@@ -73,38 +75,54 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_rows(df: DataFrame) -> DataFrame:
-    """``(doc_id, hi, lo, start, sizes)``: the 128-bit digest and place of every chunk in bytes, and 16 bits each of its size and of those before and after it (0: none). Null and empty texts have none."""
+    """``(doc_id, hi, lo, start, sizes, leads, led)``: the 128-bit digest and place of every chunk in bytes, and 16 bits each of its size and of those before and after it (0: none).
+
+    Some megabytes of text are cut together. Of their places of a digest the first
+    by doc_id and start ``leads``, and those of one that has others are ``led``.
+    Null and empty texts have no chunks.
+    """
     importable(df.sparkSession)
     kind = df.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
 
-        def frame(parts: list) -> pd.DataFrame:
+        def chunked(ids: pa.Array, parts: list) -> pa.RecordBatch:
+            ids = ids.take(pa.array([p[0] for p in parts]))
             sums = np.frombuffer(b"".join(p[1] for p in parts), ">i8").astype(np.int64).reshape(-1, 2)
-            n = [len(p[2]) for p in parts]
-            ids = pd.Series([p[0] for p in parts], dtype=object if kind == "string" else "Int64").repeat(n).reset_index(drop=True)
-            sizes = [p[3] for p in parts]
-            packed = [(s.astype(np.int64) << 32) + (np.append(0, s[:-1]) << 16) + np.append(s[1:], 0) for s in sizes]
-            return pd.DataFrame({"doc_id": ids, "hi": sums[:, 0], "lo": sums[:, 1], "start": np.concatenate([p[2] for p in parts]), "sizes": np.concatenate(packed)})
+            start = np.concatenate([p[2] for p in parts])
+            packed = np.concatenate([(s << 32) + (np.append(0, s[:-1]) << 16) + np.append(s[1:], 0) for s in (p[3] for p in parts)])
+            row = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
+            leads, led = _leaders(sums, np.asarray(pc.rank(ids, tiebreaker="min"))[row], start)
+            columns = [ids.take(pa.array(row)), *map(pa.array, (sums[:, 0].copy(), sums[:, 1].copy(), start.astype(np.int32), packed, leads, led))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "hi", "lo", "start", "sizes", "leads", "led"])
 
         for batch in batches:
             parts, held = [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                if not raw:
+            for k, raw in enumerate(batch.column(1)):
+                raw = raw.as_buffer() if raw.is_valid else b""
+                if not len(raw):
                     continue
                 ends = cuts(np.frombuffer(raw, np.uint8))
-                starts = np.concatenate([[0], ends[:-1]])
-                parts.append((None if pd.isna(doc_id) else doc_id, b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), starts, ends - starts))
+                starts, raw = np.concatenate([[0], ends[:-1]]), memoryview(raw)
+                parts.append((k, b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), starts, ends - starts))
                 held += len(raw)
                 if held > AT_ONCE:
-                    yield frame(parts)
+                    yield chunked(batch.column(0), parts)
                     parts, held = [], 0
             if parts:
-                yield frame(parts)
+                yield chunked(batch.column(0), parts)
+
+    return df.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, hi long, lo long, start int, sizes long, leads boolean, led boolean")
 
-    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, hi long, lo long, start int, sizes long")
+
+def _leaders(sums: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: whether it is the first of its digest by rank and start, and whether its digest has other rows."""
+    order = np.lexsort((start, rank, sums[:, 1], sums[:, 0]))
+    new = np.append(True, (np.diff(sums[order, 0]) != 0) | (np.diff(sums[order, 1]) != 0))
+    leads, led = np.empty(len(order), bool), np.empty(len(order), bool)
+    leads[order], led[order] = new, ~(new & np.append(new[1:], True))
+    return leads, led
 
 
 def _in_common(ours: Iterator, theirs: Iterator, left: Iterator) -> list[int]:
@@ -154,15 +172,35 @@ def repeated_spans(df: DataFrame, least: int = LEAST_SPAN) -> DataFrame:
     the UTF-8 text; ``first_doc_id`` is the smallest document that holds the first
     chunk of the passage. Texts repeated within their document, and rows that
     share a doc_id, aren't duplicates of each other. Rows with a null doc_id, text
-    or an empty text have no passages. First places are found by an aggregation
-    whose map side leaves a row for each digest, and brought back by an equi-join
-    that splits hot digests.
+    or an empty text have no passages. A digest's first places in each part of the
+    texts meet at one task, and the rest, which can be many more, get the first of
+    all by an equi-join whose hot keys are split.
     """
-    df = df.where("doc_id IS NOT NULL").select("doc_id", "text")
+    with scratch(df.sparkSession):
+        df = df.where("doc_id IS NOT NULL").select("doc_id", "text")
+        with scratch(df.sparkSession):  # the exchange of all chunks goes before the texts are exchanged
+            again = stored(_again(df), result=True)
+        return stored(_spans(df, again, least), result=True)
+
+
+def _again(df: DataFrame) -> DataFrame:
+    """``(doc_id, start, sizes, first_doc_id, held_at)``: the chunks that a smaller doc_id holds too, and the smallest place of each."""
     chunks = chunk_rows(df)
-    first = chunks.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("other")).where("f.doc_id < other").select("hi", "lo", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("held_at"))
+    by_digest = Window.partitionBy("hi", "lo").orderBy("doc_id", "start")
+    every = by_digest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    leaders = chunks.where("leads").select("doc_id", "hi", "lo", "start", "sizes", F.max("led").over(every).alias("led"), F.first("doc_id").over(every).alias("first_doc_id"), F.first("start").over(every).alias("held_at"), F.row_number().over(by_digest).alias("nth"))
+    later = F.col("doc_id") > F.col("first_doc_id")
+    leaders = stored(leaders.where(later | F.col("led") & (F.col("nth") == 1)))
+    first = leaders.where("led AND nth = 1").select("hi", "lo", "first_doc_id", "held_at")
+    rest = chunks.where("NOT leads").select("doc_id", "hi", "lo", "start", "sizes").join(first, ["hi", "lo"])
+    kept = ["doc_id", "start", "sizes", "first_doc_id", "held_at"]
+    return leaders.where(later).select(kept).union(rest.where(later).select(kept))
+
+
+def _spans(df: DataFrame, again: DataFrame, least: int) -> DataFrame:
+    """The passages that are made up by the chunks in ``again``."""
     size, before, after = (F.shiftright("sizes", k).bitwiseAND(0xFFFF).cast("int") for k in (32, 16, 0))
-    again = chunks.join(first, ["hi", "lo"]).where("doc_id > first_doc_id").select("doc_id", "start", (F.col("start") + size).cast("int").alias("end"), "first_doc_id", "held_at", "sizes").distinct()
+    again = again.repartition("doc_id").distinct().withColumn("end", (F.col("start") + size).cast("int"))
     opens, to_here = _opens()
     runs = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(to_here))
     chunk = F.struct(F.col("start").alias("chunk"), size.alias("size"), before.alias("before"), after.alias("after"), F.col("first_doc_id").alias("holder"), "held_at")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushlake.llm import bpe, chat, chunks, decontam, flac, html, langid, license, minhash, suffix
+from hushlake.llm.common import scratch
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, hi int, n int"
@@ -63,6 +64,42 @@ def _share_a_chunk(a, b):
     return bool(pieces[0] & pieces[1])
 
 
+def _shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_substring_dedup_exchanges_a_chunk_once(spark):
+    texts = [prose(1000 + k, 150) for k in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), (300, texts[0])], "doc_id long, text string")
+    n = sum(len(chunks.cuts(np.frombuffer(t.encode(), np.uint8))) for t in texts)
+    before = _shuffled_rows(spark)
+    assert [(r.doc_id, r.first_doc_id) for r in chunks.repeated_spans(df).collect() if r.start == 0 and r.end == len(texts[0])] == [(300, 0)]
+    assert n < _shuffled_rows(spark) - before < 1.7 * n
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("at_once", [300, 1 << 22])
+def test_substring_dedup_finds_the_smallest_place_of_each_chunk(spark, monkeypatch, kind, at_once):
+    monkeypatch.setattr(chunks, "AT_ONCE", at_once)
+    line, own = prose(600, 40), prose(601, 40)
+    rows = [(i, f"{prose(700 + i, 20)} {line} {prose(800 + i % 7, 30)} é") for i in random.Random(1).sample(range(2, 60), 50)]
+    rows += [(1, f"{own} {own} {own}"), (61, " ".join([line] * 9)), (62, "z" * 9000), (63, "z" * 5000), (64, ""), (65, None), rows[0], (rows[1][0], "other " + rows[2][1])]
+    rows = [(str(i) if kind == "string" else i, t) for i, t in rows]
+    places = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        ends = chunks.cuts(np.frombuffer(raw, np.uint8)).tolist()
+        for a, b in zip([0, *ends], ends):
+            places.setdefault(raw[a:b], set()).add((i, a))
+    expected = sorted((i, a, *min(found)) for found in places.values() for i, a in found if i > min(found)[0])
+    with scratch(spark):
+        got = chunks._again(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)).distinct()
+        assert sorted(tuple(r) for r in got.select("doc_id", "start", "first_doc_id", "held_at").collect()) == expected
+
+
 def test_chunks_cover_and_resist_shifts():
     data = prose(9, 2000).encode()
     a, b = chunks.cuts(np.frombuffer(data, np.uint8)), chunks.cuts(np.frombuffer(b"shift " + data, np.uint8))
