@@ -14,13 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from hushlake.llm.common import importable, scratch, stored
 
@@ -125,20 +123,22 @@ def _leaders(sums: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.
     return leads, led
 
 
-def _in_common(ours: Iterator, theirs: Iterator, left: Iterator) -> list[int]:
-    """Bytes that two strings have in common at their end (left) or at their start."""
-    out = []
-    for a, b, at_end in zip(ours, theirs, left, strict=True):
-        n = min(len(a), len(b))
-        a, b, order = (a[len(a) - n :], b[len(b) - n :], "little") if at_end else (a[:n], b[:n], "big")
-        differ = (int.from_bytes(a, order) ^ int.from_bytes(b, order)).bit_length()
-        out.append(n - (differ + 7) // 8)
-    return out
+def _in_common() -> Column:
+    """Bytes that ``ours`` and ``theirs`` have in common at their end (``left``) or at their start, by halving."""
+
+    def longer(n: Column, k: Column) -> Column:
+        def piece(c: str) -> Column:
+            return F.substring(F.col(c), F.when(F.col("left"), F.octet_length(c) - n - k).otherwise(n) + 1, k)
+
+        fits = n + k <= F.least(F.octet_length("ours"), F.octet_length("theirs"))
+        return F.when(fits & (piece("ours") == piece("theirs")), n + k).otherwise(n)
+
+    bits = (2 * LONGEST + BEYOND).bit_length()  # of the longest edge
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), F.lit(0), longer)
 
 
 def _extended(df: DataFrame, runs: DataFrame) -> DataFrame:
     """``runs`` with start and end moved outwards as far as the text agrees with that of the smallest document that holds the outer chunk."""
-    importable(df.sparkSession)
     raw = df.select("doc_id", F.col("text").cast("binary").alias("raw"))
     kept = ["doc_id", "run", "start", "end", "n_chunks", "first_doc_id"]
     sides = F.array(F.struct(F.lit(True).alias("left"), "head.*"), F.struct(F.lit(False).alias("left"), "tail.*"))
@@ -147,13 +147,12 @@ def _extended(df: DataFrame, runs: DataFrame) -> DataFrame:
     begin = F.when(F.col("left"), F.greatest(F.col("chunk") - F.col("before") - BEYOND, F.lit(0))).otherwise(F.col("chunk"))
     length = F.when(F.col("left"), F.col("chunk") - begin + F.col("size")).otherwise(F.col("size") + F.col("after") + BEYOND)
     edges = edges.withColumn("length", length).withColumn("begin", begin)
-    # Both joins read the same exchange of the texts. Other rows of an id don't hold the chunk there, and go.
-    ours = edges.join(raw, "doc_id").select(*kept, F.octet_length("raw").alias("total"), "left", "size", "holder", "length", (F.col("begin") + F.col("held_at") - F.col("chunk")).alias("at"), F.substring("raw", F.col("begin") + 1, F.col("length")).alias("ours"))
+    # Both joins read the same exchange of the texts, and neither sorts it. Other rows of an id don't hold the chunk there, and go.
+    ours = edges.hint("shuffle_hash").join(raw, "doc_id").select(*kept, F.octet_length("raw").alias("total"), "left", "size", "holder", "length", (F.col("begin") + F.col("held_at") - F.col("chunk")).alias("at"), F.substring("raw", F.col("begin") + 1, F.col("length")).alias("ours"))
     theirs = F.substring("t.raw", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("length") + F.least(F.col("at"), F.lit(0)))
     kept = [*kept, "total"]
-    both = ours.alias("o").join(raw.alias("t"), F.col("o.holder") == F.col("t.doc_id")).select("o.left", "o.size", "o.ours", theirs.alias("theirs"), *[f"o.{c}" for c in kept])
-    common = pandas_udf(lambda a, b, left: pd.Series(_in_common(a, b, left), dtype="int32"), "int")
-    more = both.select(*kept, "left", (common("ours", "theirs", "left") - F.col("size")).alias("more")).where("more >= 0")
+    both = ours.alias("o").hint("shuffle_hash").join(raw.alias("t"), F.col("o.holder") == F.col("t.doc_id")).select("o.left", "o.size", "o.ours", theirs.alias("theirs"), *[f"o.{c}" for c in kept])
+    more = both.select(*kept, "left", (_in_common() - F.col("size")).alias("more")).where("more >= 0")
     out = more.groupBy(*kept).agg(*[F.coalesce(F.max(F.when(F.col("left") == side, F.col("more"))), F.lit(0)).alias(name) for name, side in (("down", True), ("up", False))])
     return out.select("doc_id", (F.col("start") - F.col("down")).alias("start"), (F.col("end") + F.col("up")).alias("end"), "n_chunks", "first_doc_id", "total")
 

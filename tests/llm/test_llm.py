@@ -100,6 +100,21 @@ def test_substring_dedup_finds_the_smallest_place_of_each_chunk(spark, monkeypat
         assert sorted(tuple(r) for r in got.select("doc_id", "start", "first_doc_id", "held_at").collect()) == expected
 
 
+def test_substring_dedup_bytes_in_common(spark):
+    r = random.Random(7)
+    rows = [(b"", b"a", True), (b"", b"", False)]
+    for same in [0, 1, 2, 63, 64, 100, 2111, 4160] * 3:
+        shared, a, b = r.randbytes(same), b"\x00" + r.randbytes(r.randrange(3)), b"\xff" + r.randbytes(r.randrange(3))
+        rows += [(shared + a, shared + b, False), (a[::-1] + shared, b[::-1] + shared, True), (shared, shared + b, False), (b[::-1] + shared, shared, True)]
+    df = spark.createDataFrame([(bytearray(a), bytearray(b), left) for a, b, left in rows], "ours binary, theirs binary, left boolean")
+
+    def in_common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    expected = [in_common(a[::-1], b[::-1]) if left else in_common(a, b) for a, b, left in rows]
+    assert [x.n for x in df.select(chunks._in_common().alias("n")).collect()] == expected
+
+
 def test_chunks_cover_and_resist_shifts():
     data = prose(9, 2000).encode()
     a, b = chunks.cuts(np.frombuffer(data, np.uint8)), chunks.cuts(np.frombuffer(b"shift " + data, np.uint8))
