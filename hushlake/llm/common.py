@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             undo()
         gc.collect()
         spark.sparkContext._jvm.java.lang.System.gc()
+        trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> str:
+    """Give memory that the driver's JVM has freed outside its heap (by compilers, for the most part) back to the system; what the JVM says of it, empty where it can't."""
+    jvm = spark.sparkContext._jvm
+    of = jvm.java.lang.Class.forName
+    array = lambda kind, *have: _array(spark, kind, have)
+    try:
+        # By the interface: the server's own class is in a package that is not open.
+        kinds = [of(c) for c in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, command, "systemTrimNativeHeap", None, None)) or ""
+    except Py4JJavaError:  # another system or an older JVM
+        return ""
+
+
+def _array(spark: SparkSession, kind: object, have: tuple) -> object:
+    out = spark.sparkContext._gateway.new_array(kind, len(have))
+    for k, x in enumerate(have):
+        out[k] = x
+    return out
 
 
 def on_release(spark: SparkSession, path: str, undo: Callable[[], object] | None = None, result: bool = False) -> None:
@@ -84,6 +108,19 @@ def on_release(spark: SparkSession, path: str, undo: Callable[[], object] | None
     files.deleteOnExit(at)
 
 
+def _folders(spark: SparkSession, path: str) -> None:
+    """Make the folders of a write ahead, in a local file system.
+
+    Without its native library Hadoop starts a process to set the mode of each
+    folder and file it makes, and until that runs its program it has all the memory
+    of the driver over again. For that reason a table has no marker of success either.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_temporary/0")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        jvm.java.io.File(at.toUri().getPath()).mkdirs()
+
+
 def stored(df: DataFrame, result: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and a lost executor costs no recompute.
 
@@ -91,7 +128,9 @@ def stored(df: DataFrame, result: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hushlake-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    _folders(spark, path)
+    df.write.mode("append").option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    trimmed(spark)
     on_release(spark, path, result=result)
     return spark.read.schema(df.schema).parquet(path)
 

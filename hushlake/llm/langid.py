@@ -11,6 +11,7 @@ low quantile of that score on the same rows.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,7 +25,7 @@ from pyspark.sql.functions import pandas_udf
 
 from hushlake.llm.common import importable
 
-#: Rows of each language that the model is fitted on, and of all of them (expected numbers; which rows is a matter of a hash). The driver gets two sparse vectors of at most BUCKETS numbers for each, never a text.
+#: Rows of each language that the model is fitted on, and of all of them (expected numbers; which rows is a matter of a hash). One task on an executor gets two sparse vectors of at most BUCKETS numbers for each, the driver gets the model alone.
 ROWS_PER_LANGUAGE, ROWS_IN_ALL = 700, 20_000
 BUCKETS, DIM = 1 << 13, 16
 #: Rejects the share of known rows with the lowest scores, and everything without a letter.
@@ -167,9 +168,15 @@ def train(df: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
             out = [(h, lang, *(v.tobytes() for t in (text, _snippet(text)) for f in [features(t)] for v in (f[0].astype(np.uint16), f[1]))) for h, lang, text in zip(batch["h"], batch["lang"], batch["text"], strict=True) if len(_codes(text))]
             yield pd.DataFrame(out, columns=["h", "lang", "at", "share", "part_at", "part_share"])
 
-    rows = sorted(chosen.mapInPandas(run, "h long, lang string, at binary, share binary, part_at binary, part_share binary").toPandas().itertuples(index=False), key=lambda r: r.h)
-    read = lambda at, share: (np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(share, np.float32))
-    return fit_vectors([(read(r.at, r.share), read(r.part_at, r.part_share)) for r in rows], [r.lang for r in rows])
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for batch in batches for r in batch.itertuples(index=False)), key=lambda r: r.h)
+        read = lambda at, share: (np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(share, np.float32))
+        model = fit_vectors([(read(r.at, r.share), read(r.part_at, r.part_share)) for r in rows], [r.lang for r in rows])
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    vectors = chosen.mapInPandas(run, "h long, lang string, at binary, share binary, part_at binary, part_share binary")
+    found = vectors.repartition(1).mapInPandas(fitted, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], [])
 
 
 def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
